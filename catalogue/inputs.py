@@ -7,12 +7,16 @@ holds questions, and embeddings are those of past cases.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluentrail.functions.text import split_words
 from fluentrail.operators.words import WORD_ARRAY
-from fluentrail.session import spread
+from fluentrail.schemas import TRANSCRIPTS
+from fluentrail.session import scratch_path, spread
+from fluentrail.sources.tables import append_rows, read_table, stamp_processed
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
@@ -82,6 +86,14 @@ def transcriptions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_transcriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """The recogniser answers stamped, appended to a table, and read from there."""
+    path = scratch_path(spark, "transcripts")
+    answers = transcriptions(spark, sf).withColumn("ml_transcribe_status", F.lit(""))
+    append_rows(stamp_processed(answers, datetime(2024, 1, 31, 12, tzinfo=UTC)), path, TRANSCRIPTS)
+    return spread(read_table(spark, path, TRANSCRIPTS))
+
+
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs_of(table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "props"))
 

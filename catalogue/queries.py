@@ -34,6 +34,15 @@ def six(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
 
 
+def averaged(df: DataFrame, *names: str) -> DataFrame:
+    """``rounded`` for sums of fractions, whose last digits depend on the order of addition.
+
+    A value that ends in 5 at the seventh place could go either way; the shift,
+    which the SQL side has too, sends all of these up.
+    """
+    return df.withColumns({name: six(F.col(name) + 1e-9) for name in names})
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: six(name) for name in names})
 
@@ -52,7 +61,7 @@ def words_from_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def words_from_json(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = words.parse_transcripts(words.with_result(inputs.transcriptions(spark, sf)))
+    parsed = words.parse_transcripts(words.with_result(inputs.stored_transcriptions(spark, sf)))
     return words.explode_words(parsed)
 
 
@@ -88,9 +97,8 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = words.parse_transcripts(words.with_result(inputs.transcriptions(spark, sf)))
-    found = analysis.analyse_words(parsed).drop("transcripts", "ml_transcribe_result", "words", "flags")
-    return rounded(found, *FRACTIONS)
+    parsed = words.parse_transcripts(words.with_result(inputs.stored_transcriptions(spark, sf)))
+    return rounded(analysis.analyse_words(parsed).select("uri", *metrics.METRIC_NAMES), *FRACTIONS)
 
 
 @query
@@ -132,7 +140,7 @@ def therapy_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.analysis_results(inputs.transcriptions(spark, sf), datetime(2024, 1, 31, 12, tzinfo=UTC))
+    return analysis.analysis_results(inputs.stored_transcriptions(spark, sf), datetime(2024, 1, 31, 12, tzinfo=UTC))
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -187,13 +195,13 @@ def daily_fluency_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _days(daily: DataFrame) -> DataFrame:
-    return rounded(daily, "fluency_score").withColumn("processed_day", F.date_format("processed_day", "yyyy-MM-dd"))
+    return averaged(daily, "fluency_score").withColumn("processed_day", F.date_format("processed_day", "yyyy-MM-dd"))
 
 
 @query
 def daily_fluency_rounded(spark: SparkSession, sf: str) -> DataFrame:
     rows = progress.history(inputs.runs(spark, sf), USER)
-    return rounded(progress.daily_fluency_rounded(rows, USER), "fluency_score")
+    return averaged(progress.daily_fluency_rounded(rows, USER), "fluency_score")
 
 
 @query
@@ -217,7 +225,7 @@ def fluency_forecast_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _forecast_shown(rows: DataFrame) -> DataFrame:
-    shown = rounded(
+    shown = averaged(
         rows, "fluency_forecast", "prediction_interval_lower_bound", "prediction_interval_upper_bound"
     )
     return shown.withColumn("forecast_timestamp", F.date_format("forecast_timestamp", "yyyy-MM-dd HH:mm:ss"))
@@ -227,7 +235,7 @@ def _summary(spark: SparkSession, sf: str, series: tuple[str, ...]) -> DataFrame
     runs = inputs.runs(spark, sf)
     shown = progress.daily_fluency_rounded(progress.history(runs, series), series)
     ahead = forecast(progress.daily_fluency(runs, series), series)
-    return rounded(
+    return averaged(
         progress.summary(shown, ahead, series), "initial_fluency", "latest_fluency", "improvement", "projected_fluency"
     )
 

@@ -6,11 +6,11 @@ with a real model uses ``operators.models.apply_model`` instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fluentrail.functions.binding import bind
+
 # Width of the vectors, and what counts as a token.
 BUCKETS = 64
 TOKEN = r"[\p{L}\p{N}]+"
@@ -26,25 +26,8 @@ def bucket(token: Column, buckets: int = BUCKETS) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % buckets
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def unit_vector(vector: Column) -> Column:
-    """A vector scaled to length 1; zeros stay zeros."""
-
-    def scaled(v: Column) -> Column:
-        squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
-        return _bind(
-            F.sqrt(squares), lambda length: F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
-        )
-
-    return _bind(vector, scaled)
-
-
 def hashed_embedding(text: Column, buckets: int = BUCKETS) -> Column:
-    """Count of tokens per bucket, scaled to length 1; zeros for a text without tokens.
+    """Count of tokens per bucket, scaled to length 1; zeros for a text without tokens, null for none.
 
     All within the row, so embedding a table is a projection: no shuffle, and the
     other columns stay where they are.
@@ -55,4 +38,16 @@ def hashed_embedding(text: Column, buckets: int = BUCKETS) -> Column:
         return F.transform(each, lambda b: (F.size(hashes) - F.size(F.array_remove(hashes, b))).cast("double"))
 
     hashes = F.transform(tokens(text), lambda t: bucket(t, buckets))
-    return _bind(hashes, lambda h: unit_vector(counts(h)))
+    return F.when(text.isNotNull(), bind(hashes, lambda h: unit_vector(counts(h))))
+
+
+def unit_vector(vector: Column) -> Column:
+    """A vector scaled to length 1; zeros stay zeros."""
+
+    def scaled(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+        return bind(
+            F.sqrt(squares), lambda length: F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+        )
+
+    return bind(vector, scaled)

@@ -47,14 +47,9 @@ def plan_track(severity: Column, fillers: Column, repetitions: Column, long_paus
     return F.when(clean, "light").when(severity.isNotNull(), "full")
 
 
-def json_number(metrics: Column, name: str) -> Column:
-    """A numeric field of a JSON text; 0 if the text or the field is missing or no number."""
-    return F.coalesce(F.get_json_object(metrics, f"$.{name}").try_cast("double"), F.lit(0.0))
-
-
-def json_count(metrics: Column, name: str) -> Column:
-    """A whole-number field of a JSON text; 0 if it is missing."""
-    return json_number(metrics, name).cast("long")
+def number_or_zero(value: Column) -> Column:
+    """A number written as text; 0 if it is missing or no number."""
+    return F.coalesce(value.try_cast("double"), F.lit(0.0))
 
 
 def fluency(severity: Column) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The filler words, and the pattern of a stretched first letter.
+# The filler words, and the pattern of a stretched first letter in lower case.
+# Besides a to z it has the two letters that Unicode counts as case variants of s and i.
 FILLERS = ["uh", "um", "ah", "er", "hmm"]
-PROLONGATION = r"(?iu)^([a-z])\1{2,}"
+PROLONGATION = r"^([a-z\u017f\u0131])\1{2,}"
 
 # The characters Unicode counts as white space.
 WHITESPACE = (
@@ -47,15 +48,36 @@ def is_filler(word: Column) -> Column:
 
 def is_prolongation(word: Column) -> Column:
     """Whether a word starts with the same letter three times or more, in any case."""
-    return word.rlike(PROLONGATION)
+    return F.lower(word).rlike(PROLONGATION)
 
 
 def offset_seconds(offset: Column) -> Column:
-    """``"1.200s"`` as 1.2; null if what is left without the ``s`` is no number."""
+    """``"1.200s"`` as 1.2; null if what is left without the ``s`` is no number.
+
+    A cast alone would also take ``1.5d`` and hexadecimal digits.
+    """
     number = F.replace(offset, F.lit("s"), F.lit(""))
     return F.when(F.lower(number).rlike(_NUMBER), number.try_cast("double"))
 
 
+def number_text(number: Column) -> Column:
+    """A double as Python prints it: an exponent only below 0.0001 and from 1e16 on."""
+    printed = number.cast("string")
+    mantissa, power = F.substring_index(printed, "E", 1), F.substring_index(printed, "E", -1).try_cast("int")
+    sign = F.when(mantissa.startswith("-"), "-").otherwise("")
+    short = F.regexp_replace(mantissa, r"\.0$", "")
+    digits = F.regexp_replace(short, r"[-.]", "")
+    whole = F.rpad(digits, power + 1, "0")
+    places = F.substring(digits, power + 2, F.lit(20))
+    return (
+        F.when(~F.contains(printed, F.lit("E")), printed)
+        .when(power < -4, F.concat(short, F.lit("e-"), F.lpad(F.abs(power).cast("string"), 2, "0")))
+        .when(power < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(power < 16, F.concat(sign, whole, F.lit("."), F.when(places == "", "0").otherwise(places)))
+        .otherwise(F.concat(short, F.lit("e+"), power.cast("string")))
+    )
+
+
 def file_name(path: Column) -> Column:
     """The last part of a path."""
     return F.element_at(F.split(path, "/"), -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluentrail.functions import text
 from fluentrail.operators.words import unnest
+from fluentrail.session import once
 
 # Fixed value: a pause longer than this many seconds is a block.
 LONG_PAUSE = 1.5
@@ -58,7 +59,7 @@ def annotate_transcripts(df: DataFrame, words_col: str = "words", flags_col: str
             *_flags(z["w"]["word"], z["w"]["start_time"], z["w"]["end_time"], z["previous"], z["next_start"], long_pause),
         ),
     )
-    return df.withColumn(flags_col, flagged)
+    return once(df, **{flags_col: flagged})
 
 
 def explode_flags(df: DataFrame, uri_col: str = "uri", flags_col: str = "flags") -> DataFrame:

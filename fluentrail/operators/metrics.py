@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluentrail.functions import scores
+from fluentrail.functions.text import number_text
+from fluentrail.session import once
 
 # What a report says about each pattern, and about none.
 PATTERN_TEXTS = [
@@ -73,16 +75,15 @@ def transcript_metrics(df: DataFrame, flags_col: str = "flags") -> DataFrame:
         column = flags[name]
         return (F.size(column) - F.size(F.array_remove(column, F.lit(True)))).cast("long")
 
-    counts = df.withColumns(
-        {
-            "_n": F.size(flags).cast("long"),
-            "_last_end": F.array_max(flags["end_time"]),
-            "_first_start": F.array_min(flags["start_time"]),
-            "filler_count": trues("is_filler"),
-            "repetitions": trues("is_repetition"),
-            "prolongations": trues("is_prolongation"),
-            "blocks": trues("is_block"),
-        }
+    counts = once(
+        df,
+        _n=F.size(flags).cast("long"),
+        _last_end=F.array_max(flags["end_time"]),
+        _first_start=F.array_min(flags["start_time"]),
+        filler_count=trues("is_filler"),
+        repetitions=trues("is_repetition"),
+        prolongations=trues("is_prolongation"),
+        blocks=trues("is_block"),
     )
     return _with_scores(counts).select(*df.columns, *METRIC_NAMES)
 
@@ -123,7 +124,14 @@ def pack_words(flags_col: str = "flags") -> Column:
 
 def metrics_long(metrics: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
     """Metrics as ``keys, metric, value`` rows, values as text."""
-    texts = metrics.select(*keys, *[F.col(name).cast("string").alias(name) for name in METRIC_NAMES])
+    types = dict(metrics.dtypes)
+    texts = metrics.select(
+        *keys,
+        *[
+            (number_text(F.col(name)) if types[name] == "double" else F.col(name).cast("string")).alias(name)
+            for name in METRIC_NAMES
+        ],
+    )
     return texts.unpivot(list(keys), METRIC_NAMES, "metric", "value")
 
 

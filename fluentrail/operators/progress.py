@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from fluentrail.functions import scores
 from fluentrail.schemas import OLDER_ANALYSIS
+from fluentrail.session import once
+
+
+def with_metric_fields(runs: DataFrame, fields: dict[str, str], metrics_col: str = "metrics") -> DataFrame:
+    """Fields of the metrics JSON as double columns, 0 where missing, null or no number.
+
+    The text is parsed once for all fields, and not again by a filter put on them.
+    """
+    raw = [f"_raw_{name}" for name in fields]
+    parsed = runs.select("*", F.json_tuple(metrics_col, *fields.values()).alias(*raw))
+    numbers = {name: scores.number_or_zero(F.col(f"_raw_{name}")) for name in fields}
+    return parsed.withColumns(numbers).drop(*raw)
 
 
 def history(runs: DataFrame, series: tuple[str, ...] = (), metrics_col: str = "metrics", in_order: bool = False) -> DataFrame:
@@ -14,27 +26,32 @@ def history(runs: DataFrame, series: tuple[str, ...] = (), metrics_col: str = "m
 
     ``in_order`` sorts by time for display. Nothing downstream needs the order.
     """
-    metrics = F.col(metrics_col)
-    rows = runs.select(
+    fields = {"_severity": "severity_score", "filler_count": "filler_count", "repetitions": "repetitions", "total_words": "total_words"}
+    parsed = with_metric_fields(runs.select(*series, "run_id", "processed_at", metrics_col), fields, metrics_col)
+    rows = once(
+        parsed,
+        day=F.date_format("processed_at", "yyyy-MM-dd"),
+        fluency_score=scores.fluency_rounded(F.col("_severity")),
+    ).select(
         *series,
-        F.col("run_id"),
-        F.col("processed_at"),
-        F.date_format("processed_at", "yyyy-MM-dd").alias("day"),
-        scores.fluency_rounded(scores.json_number(metrics, "severity_score")).alias("fluency_score"),
-        scores.json_count(metrics, "filler_count").alias("filler_count"),
-        scores.json_count(metrics, "repetitions").alias("repetitions"),
-        scores.json_count(metrics, "total_words").alias("total_words"),
-    ).dropna(subset=["day", "fluency_score"])
+        "run_id",
+        "processed_at",
+        "day",
+        "fluency_score",
+        *[F.col(name).cast("long").alias(name) for name in ("filler_count", "repetitions", "total_words")],
+    )
+    rows = rows.dropna(subset=["day", "fluency_score"])
     return rows.orderBy("processed_at", "run_id") if in_order else rows
 
 
 def daily_fluency(runs: DataFrame, series: tuple[str, ...] = (), metrics_col: str = "metrics") -> DataFrame:
     """Mean unrounded fluency per day, the input of the forecast."""
+    parsed = with_metric_fields(
+        runs.select(*series, "processed_at", metrics_col), {"_severity": "severity_score"}, metrics_col
+    )
     return (
-        runs.select(
-            *series,
-            F.to_date("processed_at").alias("processed_day"),
-            scores.fluency(scores.json_number(F.col(metrics_col), "severity_score")).alias("_fluency"),
+        parsed.select(
+            *series, F.to_date("processed_at").alias("processed_day"), scores.fluency(F.col("_severity")).alias("_fluency")
         )
         .groupBy(*series, "processed_day")
         .agg(F.avg("_fluency").alias("fluency_score"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluentrail.functions import text
+from fluentrail.functions.binding import bind
 from fluentrail.schemas import TRANSCRIBE_RESULT
 
 WORD_ARRAY = "array<struct<word:string,start_time:double,end_time:double>>"
@@ -44,21 +45,16 @@ def parse_transcripts(df: DataFrame, result_col: str = "ml_transcribe_result", w
             text.offset_seconds(w["end_offset"]).alias("end_time"),
         ),
     )
-    good = F.transform(
-        F.col("_timed"),
-        lambda w: w["word"].isNotNull() & w["start_time"].isNotNull() & w["end_time"].isNotNull(),
-    )
-    first_bad = F.array_position(F.col("_good"), F.lit(False))
-    kept = F.when(F.col("_first_bad") > 0, F.slice("_timed", F.lit(1), (F.col("_first_bad") - 1).cast("int"))).otherwise(
-        F.col("_timed")
-    )
-    return (
-        df.withColumn("_timed", timed)
-        .withColumn("_good", good)
-        .withColumn("_first_bad", first_bad)
-        .withColumn(words_col, F.coalesce(kept, F.array().cast(WORD_ARRAY)))
-        .drop("_timed", "_good", "_first_bad")
-    )
+    none = F.array().cast(WORD_ARRAY)
+    return df.withColumn(words_col, F.coalesce(bind(timed, _before_first_bad), none))
+
+
+def _before_first_bad(timed: Column) -> Column:
+    def bad(w: Column) -> Column:
+        return w["word"].isNull() | w["start_time"].isNull() | w["end_time"].isNull()
+
+    first_bad = F.array_position(F.transform(timed, bad), F.lit(True)).cast("int")
+    return F.when(F.exists(timed, bad), F.slice(timed, F.lit(1), first_bad - 1)).otherwise(timed)
 
 
 def with_result(df: DataFrame, result_col: str = "ml_transcribe_result") -> DataFrame:

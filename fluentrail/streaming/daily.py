@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluentrail.functions import scores
+from fluentrail.operators.progress import with_metric_fields
 
 
 def daily_fluency_stream(
@@ -18,12 +19,11 @@ def daily_fluency_stream(
     later than ``delay`` after that are left out. State is one row per series and
     open day. ``processed_at`` must be a timestamp with time zone.
     """
+    parsed = with_metric_fields(
+        runs.select(*series, "processed_at", metrics_col), {"_severity": "severity_score"}, metrics_col
+    )
     return (
-        runs.select(
-            *series,
-            "processed_at",
-            scores.fluency(scores.json_number(F.col(metrics_col), "severity_score")).alias("_fluency"),
-        )
+        parsed.select(*series, "processed_at", scores.fluency(F.col("_severity")).alias("_fluency"))
         .withWatermark("processed_at", delay)
         .groupBy(F.window("processed_at", "1 day"), *series)
         .agg(F.avg("_fluency").alias("fluency_score"))

@@ -1,0 +1,148 @@
+import numpy as np
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fluentrail.operators import search
+from fluentrail.operators.lists import build_lists, search_lists
+
+RNG = np.random.default_rng(7)
+
+
+def frame(spark, vectors, name, parts=3):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, f"{name} BIGINT, embedding ARRAY<DOUBLE>").repartition(parts)
+
+
+def brute(base, queries, k, metric):
+    found = []
+    for qi, q in enumerate(queries):
+        ranked = []
+        for bi, b in enumerate(base):
+            if metric == "euclidean":
+                d = float(np.sqrt(((q - b) ** 2).sum()))
+            elif metric == "dot":
+                d = -float(q @ b)
+            else:
+                lengths = np.linalg.norm(q) * np.linalg.norm(b)
+                d = 1 - float(q @ b) / lengths if lengths > 0 else np.inf
+            ranked.append((round(d, 9), bi))
+        for rank, (d, bi) in enumerate(sorted(ranked)[:k], start=1):
+            found.append((qi, bi, None if d == np.inf else pytest.approx(d, abs=1e-8), rank))
+    return found
+
+
+def hits(df):
+    return [tuple(r) for r in df.select("q", "b", "distance", "rank").orderBy("q", "rank").collect()]
+
+
+def hard_vectors(n, dim):
+    """Vectors with copies (a third of all are the same), zeros and near ties."""
+    v = RNG.normal(size=(n, dim)).round(1)
+    v[: n // 3] = v[0]
+    v[n // 3] = 0
+    v[n // 3 + 1] = v[n // 3 + 2] + 1e-4
+    return v
+
+
+@pytest.mark.parametrize("metric", search.METRICS)
+@pytest.mark.parametrize("way", ["few queries", "small base", "tiles", "small tiles"])
+def test_all_ways_equal_brute_force(spark, metric, way):
+    base, queries = hard_vectors(60, 5), np.vstack([hard_vectors(20, 5), np.zeros((1, 5))])
+    b, q = frame(spark, base, "b"), frame(spark, queries, "q")
+    if way == "few queries":
+        got = search.top_k(b, q, 4, ["b"], ["q"], metric=metric)
+    elif way == "small base":
+        more = np.vstack([queries] * 4)
+        q, queries = frame(spark, more, "q"), more
+        got = search.top_k(b, q, 4, ["b"], ["q"], metric=metric, max_rows=70)
+    elif way == "tiles":
+        got = search.top_k(b, q, 4, ["b"], ["q"], metric=metric, max_rows=5)
+    else:
+        got = search_lists(build_lists(b, ["b"], metric=metric, n_lists=6), q, 4, ["q"], tile_rows=5)
+    assert hits(got) == brute(base, queries, 4, metric)
+
+
+def test_k_beyond_the_base(spark):
+    base, queries = hard_vectors(6, 3), hard_vectors(4, 3)
+    for rows in (100, 1):
+        got = search.top_k(frame(spark, base, "b"), frame(spark, queries, "q"), 50, ["b"], ["q"], max_rows=rows)
+        assert hits(got) == brute(base, queries, 50, "euclidean")
+
+
+def test_all_lists_are_exact_and_one_is_a_part(spark, tmp_path):
+    base, queries = RNG.normal(size=(120, 4)), RNG.normal(size=(15, 4))
+    b, q = frame(spark, base, "b"), frame(spark, queries, "q")
+    lists = build_lists(b, ["b"], n_lists=9, path=str(tmp_path / "lists"))
+    assert sum(row[1] for row in lists.stats) == 120
+    exact = brute(base, queries, 3, "euclidean")
+    assert hits(search_lists(lists, q, 3, ["q"], fraction=1.0)) == exact
+    assert hits(search_lists(lists, q, 3, ["q"])) == exact
+    part = search_lists(lists, q, 3, ["q"], fraction=0.01)
+    assert 0 < part.count() <= 45
+    found = {(r[0], r[1]) for r in hits(part)}
+    assert len(found & {(r[0], r[1]) for r in exact}) > 15
+    assert "PartitionFilters: [list_id" in part._jdf.queryExecution().toString().replace("isnotnull(list_id", "list_id")
+
+
+def test_missing_vectors_never_match(spark):
+    b = frame(spark, [[1, 0], [0, 1]], "b").unionByName(spark.createDataFrame([(9, None)], "b BIGINT, embedding ARRAY<DOUBLE>"))
+    q = frame(spark, [[1, 0]], "q").unionByName(spark.createDataFrame([(9, None)], "q BIGINT, embedding ARRAY<DOUBLE>"))
+    for rows in (100, 1):
+        assert [h[:2] for h in hits(search.top_k(b, q, 5, ["b"], ["q"], max_rows=rows))] == [(0, 0), (0, 1)]
+
+
+def test_empty_sides(spark):
+    none = spark.createDataFrame([], "b BIGINT, embedding ARRAY<DOUBLE>")
+    q = frame(spark, [[1, 0]] * 3, "q")
+    assert search.top_k(none, q, 2, ["b"], ["q"]).count() == 0
+    assert search.top_k(none, q, 2, ["b"], ["q"], max_rows=1).count() == 0
+    assert search_lists(build_lists(none, ["b"]), q, 2, ["q"]).count() == 0
+    assert search.top_k(q.withColumnRenamed("q", "b"), none.withColumnRenamed("b", "q"), 2, ["b"], ["q"]).count() == 0
+
+
+def test_text_keys_break_ties(spark):
+    b = spark.createDataFrame([(c, [1.0, 2.0]) for c in "dbca"], "b STRING, embedding ARRAY<FLOAT>")
+    got = search.top_k(b, frame(spark, [[1, 2]], "q"), 3, ["b"], ["q"])
+    assert [h[1] for h in hits(got)] == ["a", "b", "c"]
+
+
+def test_base_columns(spark):
+    b = frame(spark, [[1, 0], [0, 1]], "b").withColumn("label", F.col("b") + 10)
+    got = search.with_base_columns(search.top_k(b, frame(spark, [[0, 1]], "q"), 1, ["b"], ["q"]), b, ["b"], ["label"])
+    assert [(r.b, r.label) for r in got.collect()] == [(1, 11)]
+
+
+def test_bad_arguments(spark):
+    b = frame(spark, [[1, 0]], "b")
+    with pytest.raises(ValueError):
+        search.top_k(b, b, 1, ["b"], ["b"])
+    with pytest.raises(ValueError):
+        search.top_k(b, b.withColumnRenamed("b", "q"), 1, ["b"], ["q"], metric="manhattan")
+    with pytest.raises(ValueError):
+        search.top_k(b, b.withColumnRenamed("b", "q"), 0, ["b"], ["q"])
+
+
+VECTOR = st.lists(st.integers(-3, 3), min_size=2, max_size=2)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(base=st.lists(VECTOR, min_size=1, max_size=25), queries=st.lists(VECTOR, min_size=1, max_size=6), k=st.integers(1, 4))
+def test_tiles_equal_brute_force(spark, base, queries, k):
+    base, queries = np.array(base, dtype=float), np.array(queries, dtype=float)
+    b, q = frame(spark, base, "b", 2), frame(spark, queries, "q", 2)
+    for metric in ("euclidean", "cosine"):
+        got = search_lists(build_lists(b, ["b"], metric=metric, n_lists=3), q, k, ["q"], tile_rows=4)
+        assert hits(got) == brute(base, queries, k, metric)
+
+
+def test_make_nearest_with_large_numbers():
+    nearest = search.make_nearest(3, "euclidean")
+    b = RNG.normal(size=(200, 3)) * 1e6 + 1e8
+    q = b[:5] + 1.0
+    qi, bi, d = nearest(q, b)
+    for i in range(5):
+        exact = np.sqrt(((q[i] - b) ** 2).sum(1))
+        assert list(bi[qi == i]) == list(np.argsort(exact, kind="stable")[:3])
+        assert d[qi == i] == pytest.approx(np.sort(exact)[:3])
