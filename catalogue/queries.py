@@ -318,8 +318,7 @@ def _hits(hits: DataFrame) -> DataFrame:
 @query
 def similar_cases(spark: SparkSession, sf: str) -> DataFrame:
     base, asked = _cases(spark, sf)
-    hits = search.top_k(base, asked, 3, ["vec_id"], ["query_id"])
-    return long(_hits(search.with_base_columns(hits, base, ["vec_id"], ["label"])), "label")
+    return long(_hits(search.top_k(base, asked, 3, ["vec_id"], ["query_id"], base_columns=("label",))), "label")
 
 
 @query

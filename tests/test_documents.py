@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluentrail.functions.embedding import hashed_embedding
 from fluentrail.operators import catalog, chunks, incremental
+from fluentrail.operators.lists import build_lists
 from fluentrail.operators.models import apply_model, transcribe
 from fluentrail.plans import prompts, retrieval
 from fluentrail.streaming.ingest import embed_documents
@@ -76,6 +77,17 @@ def test_rag_prompts(spark):
     assert row.prompt is None
 
 
+def test_rag_over_lists(spark):
+    files = spark.createDataFrame([(f"d{i}", f"topic{i % 5} note{i}") for i in range(40)], "uri STRING, text STRING")
+    passages = embed_documents(files)
+    lists = build_lists(passages, ["uri", "chunk_id"], "text_embeddings", n_lists=4)
+    questions = spark.createDataFrame([(i, f"topic{i}") for i in range(3)], "question_id INT, question STRING")
+    exact = {tuple(r) for r in retrieval.rag_prompts(questions, passages).collect()}
+    assert {tuple(r) for r in retrieval.rag_prompts(questions, passages, lists=lists, fraction=1.0).collect()} == exact
+    part = retrieval.rag_prompts(questions, passages, lists=lists).collect()
+    assert len(part) == 3 and all(r.prompt.count("Document Content") >= 1 for r in part)
+
+
 def test_answers_fall_back(spark):
     asked = spark.createDataFrame([(1, "p"), (2, None)], "question_id INT, prompt STRING")
 

@@ -110,8 +110,9 @@ def test_text_keys_break_ties(spark):
 
 def test_base_columns(spark):
     b = frame(spark, [[1, 0], [0, 1]], "b").withColumn("label", F.col("b") + 10)
-    got = search.with_base_columns(search.top_k(b, frame(spark, [[0, 1]], "q"), 1, ["b"], ["q"]), b, ["b"], ["label"])
-    assert [(r.b, r.label) for r in got.collect()] == [(1, 11)]
+    for rows in (100, 0):
+        got = search.top_k(b, frame(spark, [[0, 1]], "q"), 1, ["b"], ["q"], base_columns=("label",), max_rows=rows)
+        assert [(r.b, r.label) for r in got.collect()] == [(1, 11)]
 
 
 def test_bad_arguments(spark):
@@ -146,3 +147,13 @@ def test_make_nearest_with_large_numbers():
         exact = np.sqrt(((q[i] - b) ** 2).sum(1))
         assert list(bi[qi == i]) == list(np.argsort(exact, kind="stable")[:3])
         assert d[qi == i] == pytest.approx(np.sort(exact)[:3])
+
+
+def test_make_nearest_with_copies():
+    b = np.repeat(RNG.normal(size=(4, 3)), 50, axis=0)[RNG.permutation(200)]
+    q = np.vstack([b[:6], RNG.normal(size=(6, 3))])
+    for k in (1, 3, 60):
+        qi, bi, d = search.make_nearest(k, "euclidean")(q, b)
+        for i in range(len(q)):
+            exact = np.sqrt(((q[i] - b) ** 2).sum(1)).round(9)
+            assert list(bi[qi == i]) == list(np.lexsort((np.arange(200), exact))[:k])
