@@ -379,7 +379,7 @@ def _components(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 @query
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.table(spark, sf, "conversations", "conv_id", "turn", "text")
+    rows = spread(inputs.table(spark, sf, "conversations", "conv_id", "turn", "text"))
     return _components(chunks.embed(rows, "text", "embedding"), ["conv_id", "turn"], "embedding")
 
 

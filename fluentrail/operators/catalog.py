@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluentrail.functions.embedding import hashed_embedding
+from fluentrail.session import once
 
 # Tokens a generated practice text may have, by category, and for any other.
 TOKEN_LIMITS = {
@@ -25,7 +26,7 @@ def course_text() -> Column:
 
 def embed_courses(courses: DataFrame) -> DataFrame:
     """Courses with the default embedding, in one pass over the table."""
-    return courses.withColumn("course_embedding", hashed_embedding(course_text()))
+    return once(courses, course_embedding=hashed_embedding(course_text()))
 
 
 def join_embeddings(courses: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from fluentrail.functions import text
 from fluentrail.functions.embedding import hashed_embedding
 from fluentrail.operators.words import unnest
 from fluentrail.schemas import CHUNK_LIST
+from fluentrail.session import once
 
 # Fixed value: words per chunk.
 CHUNK_SIZE = 200
@@ -49,4 +50,4 @@ def chunks_from_json(df: DataFrame, uri_col: str = "uri", result_col: str = "ml_
 
 def embed(df: DataFrame, text_col: str, vector_col: str) -> DataFrame:
     """Add the default embedding of a text column."""
-    return df.withColumn(vector_col, hashed_embedding(F.col(text_col)))
+    return once(df, **{vector_col: hashed_embedding(F.col(text_col))})
