@@ -139,8 +139,7 @@ def therapy_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.therapy_prompts(_runs(spark, sf)).select("uri", "plan_track", "prompt")
 
 
-def _analysis(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.analysis_results(inputs.stored_transcriptions(spark, sf), datetime(2024, 1, 31, 12, tzinfo=UTC))
+PROCESSED = datetime(2024, 1, 31, 12, tzinfo=UTC)
 
 
 def _shown(results: DataFrame) -> DataFrame:
@@ -158,7 +157,7 @@ def _shown(results: DataFrame) -> DataFrame:
 
 @query
 def analysis_results(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(_analysis(spark, sf))
+    return _shown(analysis.analysis_results(inputs.stored_transcriptions(spark, sf), PROCESSED))
 
 
 @query
@@ -166,8 +165,9 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Results stored twice; the second time adds nothing."""
     path = scratch_path(spark, "results")
     tables.create_table(spark, path, ANALYSIS_RESULTS)
+    answers = inputs.stored_transcriptions(spark, sf)
     for _ in range(2):
-        analysis.store_results(_analysis(spark, sf), path)
+        analysis.store_new_results(answers, path, PROCESSED)
     replaced = scratch_path(spark, "replaced")
     tables.replace_table(tables.read_table(spark, path, ANALYSIS_RESULTS), replaced, ANALYSIS_RESULTS)
     return _shown(tables.read_table(spark, replaced, ANALYSIS_RESULTS))

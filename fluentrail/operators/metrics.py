@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluentrail.functions import scores
+from fluentrail.functions.binding import bind
 from fluentrail.functions.text import number_text
 from fluentrail.session import once
 
@@ -69,23 +70,26 @@ def _with_scores(counts: DataFrame) -> DataFrame:
 
 def transcript_metrics(df: DataFrame, flags_col: str = "flags") -> DataFrame:
     """Add the metrics of each transcript from its array of flagged words; no shuffle."""
-    flags = F.col(flags_col)
-
-    def trues(name: str) -> Column:
-        column = flags[name]
-        return (F.size(column) - F.size(F.array_remove(column, F.lit(True)))).cast("long")
-
-    counts = once(
-        df,
-        _n=F.size(flags).cast("long"),
-        _last_end=F.array_max(flags["end_time"]),
-        _first_start=F.array_min(flags["start_time"]),
-        filler_count=trues("is_filler"),
-        repetitions=trues("is_repetition"),
-        prolongations=trues("is_prolongation"),
-        blocks=trues("is_block"),
-    )
-    return _with_scores(counts).select(*df.columns, *METRIC_NAMES)
+
+    def counts(flags: Column) -> Column:
+        def trues(name: str) -> Column:
+            column = flags[name]
+            return (F.size(column) - F.size(F.array_remove(column, F.lit(True)))).cast("long")
+
+        return F.struct(
+            F.size(flags).cast("long").alias("_n"),
+            F.array_max(flags["end_time"]).alias("_last_end"),
+            F.array_min(flags["start_time"]).alias("_first_start"),
+            trues("is_filler").alias("filler_count"),
+            trues("is_repetition").alias("repetitions"),
+            trues("is_prolongation").alias("prolongations"),
+            trues("is_block").alias("blocks"),
+        )
+
+    # Bound, which also keeps the loops over the array out of the code generated for
+    # later columns: a generated method that grows too long is never compiled.
+    counted = once(df, _counts=bind(F.col(flags_col), counts)).select(*df.columns, "_counts.*")
+    return _with_scores(counted).select(*df.columns, *METRIC_NAMES)
 
 
 def word_metrics(flags: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
@@ -110,12 +114,13 @@ def metrics_json() -> Column:
 def pack_words(flags_col: str = "flags") -> Column:
     """The flagged words of a run as one JSON array of records, nulls included.
 
-    Numbers keep ten decimals.
+    Pauses keep ten decimals; offsets never have more.
     """
+
     def record(f: Column) -> Column:
         return F.struct(
-            f["word"].alias("word"),
-            *[F.round(f[name], 10).alias(name) for name in ("start_time", "end_time", "pause")],
+            *[f[name].alias(name) for name in ("word", "start_time", "end_time")],
+            F.round(f["pause"], 10).alias("pause"),
             *[f[name].alias(name) for name in ("is_filler", "is_repetition", "is_prolongation", "is_block")],
         )
 

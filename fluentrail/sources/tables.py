@@ -38,10 +38,14 @@ def replace_table(df: DataFrame, path: str, schema: str) -> None:
     conform(df, schema).write.mode("overwrite").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, schema: str, key: str) -> None:
-    """Append the rows whose key the table lacks, so that a second try adds nothing."""
+def not_stored(df: DataFrame, path: str, schema: str, key: str) -> DataFrame:
+    """One row for each key of ``df`` that the table lacks, so that a second try adds nothing."""
     have = read_table(df.sparkSession, path, schema).select(key).distinct()
-    append_rows(df.dropDuplicates([key]).join(have, key, "left_anti"), path, schema)
+    return df.dropDuplicates([key]).join(have, key, "left_anti")
+
+
+def append_new(df: DataFrame, path: str, schema: str, key: str) -> None:
+    append_rows(not_stored(df, path, schema, key), path, schema)
 
 
 def run_id(uri_col: str = "uri"):

@@ -102,7 +102,7 @@ def test_analysis_results(spark, tmp_path):
     assert results.columns == [f.split()[0] for f in ANALYSIS_RESULTS.split(", ")]
     path = str(tmp_path / "results")
     for _ in range(2):
-        analysis.store_results(results, path)
+        analysis.store_new_results(answers.unionByName(answers.limit(1)), path, at, make_model)
     stored = {r.transcript: r for r in tables.read_table(spark, path, ANALYSIS_RESULTS).collect()}
     assert len(stored) == 2 and stored["um the the"].therapy_plan.startswith("plan of")
     found = json.loads(stored["um the the"].metrics)
