@@ -78,7 +78,7 @@ def disfluency_flags_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.analyse_words(inputs.transcripts(spark, sf)).drop("words", "flags")
+    return metrics.transcript_metrics(inputs.transcripts(spark, sf)).drop("words")
 
 
 FRACTIONS = ("total_duration_sec", "speech_rate_wps", "severity_score")
@@ -98,7 +98,7 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def run_metrics_json(spark: SparkSession, sf: str) -> DataFrame:
     parsed = words.parse_transcripts(words.with_result(inputs.stored_transcriptions(spark, sf)))
-    return rounded(analysis.analyse_words(parsed).select("uri", *metrics.METRIC_NAMES), *FRACTIONS)
+    return rounded(metrics.transcript_metrics(parsed).select("uri", *metrics.METRIC_NAMES), *FRACTIONS)
 
 
 @query
@@ -131,7 +131,7 @@ def exercise_tiers(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def words_packed(spark: SparkSession, sf: str) -> DataFrame:
     flagged = disfluency.annotate_transcripts(inputs.transcripts(spark, sf))
-    return flagged.select("uri", metrics.pack_words().alias("words_json"))
+    return flagged.select("uri", metrics.pack_words(F.col("flags")).alias("words_json"))
 
 
 @query
@@ -173,6 +173,36 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(tables.read_table(spark, replaced, ANALYSIS_RESULTS))
 
 
+def _stored_results(spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "results")
+    analysis.store_new_results(inputs.stored_transcriptions(spark, sf), path, PROCESSED)
+    return path
+
+
+@query
+def stored_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of the stored runs: only three of their columns are read."""
+    rows = progress.history(files.read_history(spark, _stored_results(spark, sf)))
+    return rows.drop("processed_at")
+
+
+@query
+def similar_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """For every stored run the three nearest ones, itself among them."""
+    results = tables.read_table(spark, _stored_results(spark, sf), ANALYSIS_RESULTS)
+    asked = results.select(F.col("run_id").alias("query_id"), "transcript_embedding")
+    found = retrieval.similar_cases(results, asked)
+    return _hits(found).select(
+        "query_id",
+        "run_id",
+        "rank",
+        "distance",
+        "therapy_plan",
+        F.length("transcript").cast("bigint").alias("length"),
+        F.get_json_object("metrics", "$.severity_level").alias("severity_level"),
+    )
+
+
 # Progress and forecast
 
 USER = ("user_id",)

@@ -37,29 +37,30 @@ def _flags(word: Column, start: Column, end: Column, previous: Column, next_star
     ]
 
 
-def annotate_transcripts(df: DataFrame, words_col: str = "words", flags_col: str = "flags", long_pause: float = LONG_PAUSE) -> DataFrame:
-    """Add the flagged words of each transcript as an array, without any shuffle.
+def flag_words(words: Column, long_pause: float = LONG_PAUSE) -> Column:
+    """The flagged words of one transcript, from its array of timed words.
 
-    The neighbours of a word sit in the same array, one place before and after,
-    so no window and no exchange is needed, however long a recording is.
+    The neighbours of a word sit in the same array, one place before and after, so
+    no window and no exchange is needed, however long a recording is.
     """
-    words = F.col(words_col)
     n = F.size(words)
     zipped = F.arrays_zip(
         words.alias("w"),
-        F.slice(
-            F.concat(F.array(F.lit(None).cast("string")), words["word"]), F.lit(1), n
-        ).alias("previous"),
+        F.slice(F.concat(F.array(F.lit(None).cast("string")), words["word"]), F.lit(1), n).alias("previous"),
         F.slice(words["start_time"], F.lit(2), n).alias("next_start"),
     )
-    flagged = F.transform(
+    return F.transform(
         zipped,
         lambda z, i: F.struct(
             i.cast("long").alias("pos"),
             *_flags(z["w"]["word"], z["w"]["start_time"], z["w"]["end_time"], z["previous"], z["next_start"], long_pause),
         ),
     )
-    return once(df, **{flags_col: flagged})
+
+
+def annotate_transcripts(df: DataFrame, words_col: str = "words", flags_col: str = "flags", long_pause: float = LONG_PAUSE) -> DataFrame:
+    """Add the flagged words of each transcript as an array."""
+    return once(df, **{flags_col: flag_words(F.col(words_col), long_pause)})
 
 
 def explode_flags(df: DataFrame, uri_col: str = "uri", flags_col: str = "flags") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fluentrail.functions import scores
 from fluentrail.functions.binding import bind
 from fluentrail.functions.text import number_text
+from fluentrail.operators.disfluency import LONG_PAUSE, flag_words
 from fluentrail.session import once
 
 # What a report says about each pattern, and about none.
@@ -68,28 +69,40 @@ def _with_scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def transcript_metrics(df: DataFrame, flags_col: str = "flags") -> DataFrame:
-    """Add the metrics of each transcript from its array of flagged words; no shuffle."""
+def _counts(flags: Column) -> list[Column]:
+    def trues(name: str) -> Column:
+        column = flags[name]
+        return (F.size(column) - F.size(F.array_remove(column, F.lit(True)))).cast("long")
 
-    def counts(flags: Column) -> Column:
-        def trues(name: str) -> Column:
-            column = flags[name]
-            return (F.size(column) - F.size(F.array_remove(column, F.lit(True)))).cast("long")
+    return [
+        F.size(flags).cast("long").alias("_n"),
+        F.array_max(flags["end_time"]).alias("_last_end"),
+        F.array_min(flags["start_time"]).alias("_first_start"),
+        trues("is_filler").alias("filler_count"),
+        trues("is_repetition").alias("repetitions"),
+        trues("is_prolongation").alias("prolongations"),
+        trues("is_block").alias("blocks"),
+    ]
 
-        return F.struct(
-            F.size(flags).cast("long").alias("_n"),
-            F.array_max(flags["end_time"]).alias("_last_end"),
-            F.array_min(flags["start_time"]).alias("_first_start"),
-            trues("is_filler").alias("filler_count"),
-            trues("is_repetition").alias("repetitions"),
-            trues("is_prolongation").alias("prolongations"),
-            trues("is_block").alias("blocks"),
-        )
+
+def transcript_metrics(
+    df: DataFrame, words_col: str = "words", packed_col: str | None = None, long_pause: float = LONG_PAUSE
+) -> DataFrame:
+    """Add the metrics of each transcript from its array of timed words; no shuffle.
+
+    With ``packed_col`` the flagged words are added too, packed as JSON. The array of
+    flags itself is not kept, which spares writing it out between two steps.
+    """
+
+    def found(flags: Column) -> Column:
+        packed = [] if packed_col is None else [pack_words(flags).alias(packed_col)]
+        return F.struct(*_counts(flags), *packed)
 
     # Bound, which also keeps the loops over the array out of the code generated for
     # later columns: a generated method that grows too long is never compiled.
-    counted = once(df, _counts=bind(F.col(flags_col), counts)).select(*df.columns, "_counts.*")
-    return _with_scores(counted).select(*df.columns, *METRIC_NAMES)
+    counted = once(df, _found=bind(flag_words(F.col(words_col), long_pause), found)).select(*df.columns, "_found.*")
+    kept = df.columns if packed_col is None else [*df.columns, packed_col]
+    return _with_scores(counted).select(*kept, *METRIC_NAMES)
 
 
 def word_metrics(flags: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
@@ -111,7 +124,7 @@ def metrics_json() -> Column:
     return F.to_json(F.struct(*METRIC_NAMES))
 
 
-def pack_words(flags_col: str = "flags") -> Column:
+def pack_words(flags: Column) -> Column:
     """The flagged words of a run as one JSON array of records, nulls included.
 
     Pauses keep ten decimals; offsets never have more.
@@ -124,7 +137,7 @@ def pack_words(flags_col: str = "flags") -> Column:
             *[f[name].alias(name) for name in ("is_filler", "is_repetition", "is_prolongation", "is_block")],
         )
 
-    return F.to_json(F.transform(F.col(flags_col), record), {"ignoreNullFields": "false"})
+    return F.to_json(F.transform(flags, record), {"ignoreNullFields": "false"})
 
 
 def metrics_long(metrics: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:

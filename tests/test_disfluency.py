@@ -81,7 +81,7 @@ def test_files_do_not_touch(spark):
 
 def test_empty_transcript_keeps_its_row_without_metrics(spark):
     df = transcripts(spark, f=[], g=spoken("a"))
-    found = {r.uri: r for r in metrics.transcript_metrics(disfluency.annotate_transcripts(df)).collect()}
+    found = {r.uri: r for r in metrics.transcript_metrics(df).collect()}
     assert all(found["f"][name] is None for name in metrics.METRIC_NAMES)
     assert found["g"].total_words == 1 and found["g"].severity_score == 0.0
     assert found["g"].severity_level == "Mild"
@@ -89,14 +89,14 @@ def test_empty_transcript_keeps_its_row_without_metrics(spark):
 
 def test_one_word_and_no_duration(spark):
     df = transcripts(spark, f=[("a", 1.0, 1.0)], g=[("a", 2.0, 1.0)])
-    found = {r.uri: r for r in metrics.transcript_metrics(disfluency.annotate_transcripts(df)).collect()}
+    found = {r.uri: r for r in metrics.transcript_metrics(df).collect()}
     assert found["f"].speech_rate_wps == 0.0 and found["g"].speech_rate_wps == 0.0
     assert found["g"].total_duration_sec == -1.0
 
 
 def test_a_word_counts_once_per_flag(spark):
     timed = [("um", 0.0, 0.1), ("um", 0.2, 0.3), ("go", 3.0, 3.1)]
-    run = metrics.transcript_metrics(disfluency.annotate_transcripts(transcripts(spark, f=timed))).first()
+    run = metrics.transcript_metrics(transcripts(spark, f=timed)).first()
     assert (run.filler_count, run.repetitions, run.blocks, run.long_pauses) == (2, 1, 1, 1)
     assert run.severity_score == pytest.approx((3 + 1.5 + 2) / 3)
     assert run.severity_level == "Severe"
@@ -133,7 +133,7 @@ def test_both_ways_agree_with_the_rules(spark, files, block_rows):
         for r in flagged.orderBy("uri", "pos").collect():
             got[r.uri].append(tuple(r[name] for name in FLAGS))
         assert got == {name: expected(said) for name, said in timed.items()}
-    once = {r.uri: r.asDict() for r in metrics.transcript_metrics(disfluency.annotate_transcripts(df)).drop("words", "flags").collect()}
+    once = {r.uri: r.asDict() for r in metrics.transcript_metrics(df).drop("words").collect()}
     summed = {r.uri: r.asDict() for r in metrics.word_metrics(by_rows).collect()}
     assert summed == {uri: run for uri, run in once.items() if timed[uri]}
 

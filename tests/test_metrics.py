@@ -58,7 +58,7 @@ def test_patterns(spark):
 def test_packed_words_read_back(spark):
     timed = [('say "hi"\\', 0.0, 0.1), ("naïve\n", 0.3, 0.6)]
     df = spark.createDataFrame([("f", timed)], f"uri STRING, words {WORD_ARRAY}")
-    packed = disfluency.annotate_transcripts(df).select(metrics.pack_words()).first()[0]
+    packed = disfluency.annotate_transcripts(df).select(metrics.pack_words(F.col("flags"))).first()[0]
     records = json.loads(packed)
     assert [r["word"] for r in records] == ['say "hi"\\', "naïve\n"]
     assert [r["pause"] for r in records] == [0.2, None]
