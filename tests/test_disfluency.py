@@ -143,3 +143,20 @@ def test_prolongation_like_python(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(said)], "i INT, w STRING").orderBy("i")
     got = [r.p for r in df.select("i", text.is_prolongation(F.col("w")).alias("p")).orderBy("i").collect()]
     assert got == [re.match(r"([a-zA-Z])\1{2,}", w, re.IGNORECASE) is not None for w in said]
+
+
+def test_the_flags_are_worked_out_once(spark):
+    df = transcripts(spark, f=spoken("a"))
+    severe = metrics.transcript_metrics(df).where("severity_score > 0.1").select("uri", "severity_level")
+    blocks = disfluency.explode_flags(disfluency.annotate_transcripts(df)).where("is_block").select("uri", "pos")
+    for found in (severe, blocks):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("RLIKE(") == 1 and "Exchange" not in plan
+
+
+def test_one_long_file_is_cut(spark):
+    rows = spark.range(1000).selectExpr("'f' AS uri", "id AS pos", "'w' AS word", "id * 1.0D AS start_time", "id + 0.5D AS end_time")
+    flagged = disfluency.annotate_words(rows, block_rows=10)
+    assert "Window" in flagged._jdf.queryExecution().executedPlan().toString()
+    run = metrics.word_metrics(flagged).first()
+    assert (run.total_words, run.repetitions, run.blocks) == (1000, 999, 0)
