@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluentrail.llm.fixity import audit, merkle_tree, warc_record
 from fluentrail.llm.packing import pack
 from fluentrail.llm.pieces import encode_pieces
+from fluentrail.llm.preference import format_preferences
+from fluentrail.llm.toxicity import held_out, learn_labels, score
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +41,89 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op6_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged records of a replica of all pages, found by the trees of both copies.
+
+    1,000 pages make an archive. The replica has a changed byte in one page of fifty, and one archive of
+    thirteen ends at its 900th record.
+    """
+    pages = _read(spark, folder, "pages").select(
+        F.expr("page_id div 1000").alias("archive"),
+        (F.col("page_id") % 1000).alias("position"),
+        warc_record(F.col("url"), F.col("html")).alias("record"),
+    )
+    damaged = F.when(F.col("position") % 50 == 7, F.overlay("record", F.lit("?"), 1)).otherwise(F.col("record"))
+    replica = pages.filter(~((F.col("archive") % 13 == 3) & (F.col("position") >= 900))).withColumn("record", damaged)
+    found = audit(merkle_tree(pages), merkle_tree(replica))
+    return found.select("archive", "position", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "kind")
+
+
+OP6_SQL = """
+WITH records AS (
+    SELECT page_id // 1000 AS archive, page_id % 1000 AS position,
+           strlen('WARC/1.1WARC-Type: resourceWARC-Target-URI: Content-Length: ') + 14 + strlen(coalesce(url, ''))
+           + strlen(coalesce(html, '')) + length(strlen(coalesce(html, ''))::VARCHAR) AS size
+    FROM pages WHERE page_id IS NOT NULL),
+placed AS (
+    SELECT archive, position, sum(size) OVER (PARTITION BY archive ORDER BY position) AS last, size FROM records)
+SELECT archive, position, CAST(last - size AS BIGINT) AS start_offset, CAST(last AS BIGINT) AS end_offset,
+       CASE WHEN archive % 13 = 3 AND position >= 900 THEN 'lost' ELSE 'changed' END AS kind
+FROM placed WHERE position % 50 = 7 OR archive % 13 = 3 AND position >= 900
+"""
+
+
+def op7_preference(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation against itself with its last answer taken from the next conversation."""
+    turns = _read(spark, folder, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    answers = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("pair_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"))
+    chosen = turns.join(answers.select("pair_id"), "pair_id", "left_semi")
+    before = turns.join(answers, "pair_id").filter("turn < last_turn").select(turns.columns)
+    other = answers.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last_text").alias("text"))
+    swapped = answers.join(other, "pair_id", "left").select("pair_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return format_preferences(chosen, before.unionByName(swapped))
+
+
+OP7_SQL = """
+WITH turns AS (
+    SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+answers AS (
+    SELECT pair_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM turns WHERE role = 'assistant' GROUP BY pair_id),
+chosen AS (SELECT t.* FROM turns t JOIN answers USING (pair_id)),
+rejected AS (
+    SELECT t.* FROM turns t JOIN answers a USING (pair_id) WHERE t.turn < a.last_turn
+    UNION ALL
+    SELECT a.pair_id, a.last_turn, 'assistant', coalesce(b.last_text, '') FROM answers a LEFT JOIN answers b ON b.pair_id = a.pair_id + 1),
+both_sides AS (
+    SELECT pair_id, turn, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
+    FROM chosen c FULL JOIN rejected r USING (pair_id, turn)),
+parting AS (
+    SELECT pair_id, min(CASE WHEN c_role IS DISTINCT FROM r_role OR c_text IS DISTINCT FROM r_text THEN turn END) AS parting
+    FROM both_sides GROUP BY pair_id),
+parts AS (
+    SELECT pair_id, 'prompt' AS part, turn, c_role AS role, c_text AS text FROM both_sides JOIN parting USING (pair_id) WHERE turn < coalesce(parting, turn + 1)
+    UNION ALL
+    SELECT pair_id, 'chosen', turn, c_role, c_text FROM both_sides JOIN parting USING (pair_id) WHERE turn >= parting AND c_role IS NOT NULL
+    UNION ALL
+    SELECT pair_id, 'rejected', turn, r_role, r_text FROM both_sides JOIN parting USING (pair_id) WHERE turn >= parting AND r_role IS NOT NULL)
+SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS rendered, length(role) + 5 AS mask_start,
+       length(role) + 5 + CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(text) ELSE 0 END AS mask_end
+FROM parts
+"""
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by the lexicon of the labels that are not held out."""
+    documents = _read(spark, folder, "documents")
+    scored = score(documents, learn_labels(documents, _read(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight", "words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_packing": op3_packing,
+    "op6_merkle_fixity": op6_merkle_fixity,
+    "op7_preference": op7_preference,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL}
