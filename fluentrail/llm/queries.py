@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluentrail.llm.fixity import audit, merkle_tree, warc_record
+from fluentrail.llm.mtree import top_k
 from fluentrail.llm.packing import pack
 from fluentrail.llm.pieces import encode_pieces
 from fluentrail.llm.preference import format_preferences
+from fluentrail.llm.projections import nearest
 from fluentrail.llm.toxicity import held_out, learn_labels, score
 
 
@@ -35,6 +37,31 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_mtree(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others, in whole numbers."""
+    vectors = _read(spark, folder, "embeddings")
+    found = top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024.0)
+    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+
+
+OP2_SQL = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, b.vec_id, CAST(list_inner_product(q.v, b.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op9_projections(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty near vectors of every twentieth vector."""
+    vectors = _read(spark, folder, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     pieces = pack(_read(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"), with_ids=False)
@@ -121,9 +148,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_mtree": op2_mtree,
     "op3_packing": op3_packing,
     "op6_merkle_fixity": op6_merkle_fixity,
     "op7_preference": op7_preference,
+    "op9_projections": op9_projections,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE: dict[str, str] = {"op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL}
