@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluentrail.llm.fixity import audit, merkle_tree, warc_record
+from fluentrail.llm.jaccard import link_documents
 from fluentrail.llm.mtree import top_k
 from fluentrail.llm.packing import pack
 from fluentrail.llm.pieces import encode_pieces
@@ -68,6 +69,11 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose five-word shingles are alike by 80 %."""
+    return link_documents(_read(spark, folder, "documents"))
+
+
 def op6_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged records of a replica of all pages, found by the trees of both copies.
 
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mtree": op2_mtree,
     "op3_packing": op3_packing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_merkle_fixity": op6_merkle_fixity,
     "op7_preference": op7_preference,
     "op9_projections": op9_projections,
