@@ -14,6 +14,7 @@ from fluentrail.llm.packing import pack
 from fluentrail.llm.pieces import encode_pieces
 from fluentrail.llm.preference import format_preferences
 from fluentrail.llm.projections import nearest
+from fluentrail.llm.repeats import remove_repeats
 from fluentrail.llm.toxicity import held_out, learn_labels, score
 
 
@@ -57,6 +58,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that occur again."""
+    left = remove_repeats(_read(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_projections(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty near vectors of every twentieth vector."""
     vectors = _read(spark, folder, "embeddings")
@@ -159,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_merkle_fixity": op6_merkle_fixity,
     "op7_preference": op7_preference,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_projections": op9_projections,
     "op10_toxicity": op10_toxicity,
 }
