@@ -11,10 +11,11 @@ from fluentrail.llm.fixity import audit, merkle_tree, warc_record
 from fluentrail.llm.jaccard import link_documents
 from fluentrail.llm.mtree import top_k
 from fluentrail.llm.packing import pack
+from fluentrail.llm.passages import near_passages
 from fluentrail.llm.pieces import encode_pieces
 from fluentrail.llm.preference import format_preferences
 from fluentrail.llm.projections import nearest
-from fluentrail.llm.repeats import remove_repeats
+from fluentrail.llm.repeats import removed_bytes, repeated_spans
 from fluentrail.llm.toxicity import held_out, learn_labels, score
 
 
@@ -60,8 +61,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that occur again."""
-    left = remove_repeats(_read(spark, folder, "documents"))
-    return left.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    documents = _read(spark, folder, "documents")
+    known = repeated_spans(documents).select("digest", "size", "spans", "kept_digest")
+    own = documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return own.join(known, "digest").select(
+        "doc_id",
+        F.col("size").alias("n_bytes"),
+        removed_bytes(F.col("spans")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.col("kept_digest").alias("kept_sha256"),
+    )
 
 
 def op9_projections(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +85,12 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that nearly repeat a passage elsewhere."""
+    found = near_passages(_read(spark, folder, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), F.col("other").alias("other_doc_id"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose five-word shingles are alike by 80 %."""
     return link_documents(_read(spark, folder, "documents"))
@@ -163,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mtree": op2_mtree,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_merkle_fixity": op6_merkle_fixity,
     "op7_preference": op7_preference,

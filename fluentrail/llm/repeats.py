@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluentrail.llm.common import steps, stored
@@ -24,7 +24,7 @@ from fluentrail.llm.shingles import mix, raw
 #: Bytes of a string that counts as a repeat.
 LENGTH = 200
 #: Names of a fragment, about; names that a task holds before it passes them on.
-FRAGMENT, HELD = 1 << 22, 1 << 21
+FRAGMENT, HELD = 7 << 20, 1 << 21
 #: Bytes that are numbered in one go.
 BLOCK = 1 << 20
 _rng = np.random.default_rng(73)
@@ -158,11 +158,12 @@ def spans(begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return begins[np.append(0, cut + 1)], begins[np.append(cut, len(begins) - 1)] + length
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``digest, id, size, copies`` of each distinct text with its ``spans array<struct<start, end>>`` in bytes.
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``digest, id, size, copies, spans array<struct<start, end>>, kept_digest`` of each distinct text, in bytes.
 
     A span is a maximal run of bytes covered by strings of ``length`` (at least 74) bytes that begin at two or
-    more places of the table; ``digest`` is the SHA-256 of the text. A text that several rows have is one span
+    more places of the table; ``digest`` is the SHA-256 of the text, ``kept_digest``
+    that of its bytes outside the spans. A text that several rows have is one span
     where it is long enough. Null counts as empty; short texts have no spans.
     """
     if length <= PERIOD:
@@ -217,20 +218,30 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            out = []
+            out, kept = [], []
             for one, marks, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 flat = np.frombuffer(one.as_buffer(), np.uint8)
                 begins = _begins(flat, marks, fragments, length)
                 starts, ends = spans(begins[_marked(names(flat, begins, length), found, fragments)], length)
                 out.append([{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["id", "spans"])
+                body = one.as_buffer().to_pybytes()
+                rest = b"".join(body[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(body)], strict=True))
+                kept.append(hashlib.sha256(rest).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(kept, pa.string())], ["id", "spans", "kept_digest"])
 
-    covered = open_texts.join(equal, "id").select("id", "text", "marks", "equal").mapInArrow(cover, "id long, spans array<struct<start: long, end: long>>")
-    covered = covered.groupBy("id").agg(F.max("spans").alias("spans"))  # the same for all copies of a text
+    covered = open_texts.join(equal, "id").select("id", "text", "marks", "equal").mapInArrow(cover, "id long, spans array<struct<start: long, end: long>>, kept_digest string")
+    covered = covered.groupBy("id").agg(F.max("spans").alias("spans"), F.max("kept_digest").alias("kept_digest"))  # the same for all copies
     none = F.array().cast("array<struct<start: long, end: long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
-    found = F.when((F.col("copies") > 1) & (F.col("size") >= length), whole).otherwise(F.coalesce("spans", none))
-    return classes.join(covered, "id", "left").select("digest", "id", "size", "copies", found.alias("spans"))
+    copied = (F.col("copies") > 1) & (F.col("size") >= length)
+    found = F.when(copied, whole).otherwise(F.coalesce("spans", none))
+    rest = F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_digest", "digest"))
+    return classes.join(covered, "id", "left").select("digest", "id", "size", "copies", found.alias("spans"), rest.alias("kept_digest"))
+
+
+def removed_bytes(found: Column) -> Column:
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    return F.aggregate(F.coalesce(found, none), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -243,9 +254,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(key).alias("key"), body.alias("text"), F.sha2(body, 256).alias("digest"))
-    known = stored(repeated_spans(docs, key, text, length).filter(F.size("spans") > 0).select("digest", "spans"), "repeat-spans")
+    known = stored(repeated_spans(docs, text, length).filter(F.size("spans") > 0).select("digest", "spans"), "repeat-spans")
     joined = source.join(known, "digest", "left").select("key", "text", "spans")
-    removed = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start: long, end: long>>")), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    removed = removed_bytes(F.col("spans"))
     raw_bytes = F.col("text").cast("binary")
     # what lies before each span, and behind the last
     starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.octet_length("text").cast("long")))
