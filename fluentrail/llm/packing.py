@@ -85,8 +85,11 @@ class Plan:
     sequences: int = 0
     pieces: list[tuple[int, int, int, int, int]] = field(default_factory=list)
 
-    def alone(self, doc: int, start: int, length: int) -> None:
-        self.pieces.append((doc, start, length, self.sequences, 0))
+    def sequence(self, segments: list[list[int]]) -> None:
+        offset = 0
+        for doc, start, end in segments:
+            self.pieces.append((doc, start, end - start, self.sequences, offset))
+            offset += end - start
         self.sequences += 1
 
 
@@ -95,53 +98,62 @@ def plan_windows(lengths: np.ndarray, capacity: int) -> Plan:
 
     Whole windows of long documents are sequences of their own. Of the rests, the longest are kept back;
     differencing deals the others out to as many windows as hold them, and the rests kept back are cut to
-    fill what is free in each. What is left of these goes into sequences whose lengths are the capacity or
-    powers of two.
+    fill what is free in each; if they do not suffice, the emptiest windows are cut up for it too. What is left
+    goes into sequences whose lengths are the capacity or smaller powers of two.
     """
     plan = Plan(capacity)
     starts = np.zeros(len(lengths), np.int64)
     for doc in np.flatnonzero(lengths >= capacity).tolist():
         for start in range(0, int(lengths[doc]) - capacity + 1, capacity):
-            plan.alone(doc, start, capacity)
+            plan.sequence([[doc, start, start + capacity]])
             starts[doc] = start + capacity
     rests = lengths - starts
     order = np.argsort(-rests, kind="stable")
     order = order[rests[order] > 0]
     windows, free = divmod(int(rests.sum()), capacity)
     back = int(np.searchsorted(np.cumsum(rests[order]), free + SPARE * windows)) + 1 if windows else len(order)
-    kept_back, dealt = order[:back].tolist(), order[back:]
-    if windows:
-        window, windows = windows_of(rests[dealt], windows, capacity)
-        filled = np.zeros(windows, np.int64)
-        for doc, w in zip(dealt.tolist(), window.tolist(), strict=True):
-            plan.pieces.append((doc, int(starts[doc]), int(rests[doc]), plan.sequences + w, int(filled[w])))
-            filled[w] += rests[doc]
-        for w in np.argsort(-filled, kind="stable").tolist():
-            while filled[w] < capacity and kept_back:
-                doc = kept_back[-1]
-                length = min(capacity - int(filled[w]), int(lengths[doc] - starts[doc]))
-                plan.pieces.append((doc, int(starts[doc]), length, plan.sequences + w, int(filled[w])))
-                filled[w] += length
-                starts[doc] += length
-                if starts[doc] == lengths[doc]:
-                    kept_back.pop()
-        plan.sequences += windows
-    left = sum(int(lengths[doc] - starts[doc]) for doc in kept_back)
+    spare = [[doc, int(starts[doc]), int(lengths[doc])] for doc in order[:back].tolist()]
+    dealt = order[back:]
+    window, windows = windows_of(rests[dealt], windows, capacity) if windows else (dealt, 0)
+    members: list[list[list[int]]] = [[] for _ in range(windows)]
+    for doc, w in zip(dealt.tolist(), window.tolist(), strict=True):
+        members[w].append([doc, int(starts[doc]), int(lengths[doc])])
+    free_of = [capacity - sum(end - start for _, start, end in own) for own in members]
+    queue = sorted(range(windows), key=lambda w: free_of[w])
+    while queue:
+        w = queue.pop(0)
+        while free_of[w]:
+            if not spare:
+                if not queue:  # not full: into the short sequences
+                    spare, members[w], free_of[w] = members[w], [], 0
+                    break
+                spare = members[queue.pop()]  # the emptiest window is cut up to fill the others
+            segment = _cut(spare, free_of[w])
+            members[w].append(segment)
+            free_of[w] -= segment[2] - segment[1]
+        if members[w]:
+            plan.sequence(members[w])
+    left = sum(end - start for _, start, end in spare)
     while left:
         size = room = capacity if left >= capacity else 1 << (left.bit_length() - 1)
+        own = []
         while room:
-            doc = kept_back[-1]
-            length = min(room, int(lengths[doc] - starts[doc]))
-            plan.pieces.append((doc, int(starts[doc]), length, plan.sequences, size - room))
-            room -= length
-            starts[doc] += length
-            if starts[doc] == lengths[doc]:
-                kept_back.pop()
-        plan.sequences += 1
+            own.append(_cut(spare, room))
+            room -= own[-1][2] - own[-1][1]
+        plan.sequence(own)
         left -= size
     return plan
 
 
+def _cut(spare: list[list[int]], room: int) -> list[int]:
+    """The next segment of what is kept back, ``room`` tokens of it at most."""
+    doc, start, end = spare[-1]
+    if end - start <= room:
+        return spare.pop()
+    spare[-1][1] = start + room
+    return [doc, start, start + room]
+
+
 class WordIds:
     """Ids of whole texts from those of their words, which the tokenizer works out once."""
 
@@ -195,6 +207,7 @@ def _pack(path: str, end: int, capacity: int, group: int, key: pa.DataType, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
+        words.kept, words.older = {}, {}  # a worker that goes on to other work holds no words of an earlier task
         first = TaskContext.get().partitionId() << TASK_SHIFT
         keys, ids, held = [], [], 0
         for batch in batches:
@@ -208,6 +221,7 @@ def _pack(path: str, end: int, capacity: int, group: int, key: pa.DataType, with
                     yield out
                     first += sequences
                     keys, ids, held = [], [], 0
+        words.kept, words.older = {}, {}
         if keys:
             yield rows(keys, ids, first)[0]
 
