@@ -549,12 +549,6 @@ def file_names(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def file_listing(spark: SparkSession, sf: str) -> DataFrame:
-    listed = files.list_files(spark, sf, "*.parquet")
-    return listed.select(text.file_name(F.col("uri")).alias("name"), "content_type", "length")
-
-
 @query
 def apply_model_fake(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in for a model: it counts characters, and cannot read German."""

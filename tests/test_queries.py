@@ -4,8 +4,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
+from fluentrail.functions import text
+from fluentrail.sources import files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -20,7 +23,7 @@ def sql():
 
 def test_oracles_have_queries():
     assert set(registered.oracle_sql()) <= set(registered.queries())
-    assert set(registered.queries()) - set(registered.oracle_sql()) - set(registered.EXTRA) == {"file_listing"}
+    assert set(registered.queries()) - set(registered.oracle_sql()) - set(registered.EXTRA) == set()
 
 
 @pytest.mark.parametrize("name", sorted(set(registered.oracle_sql()) - set(registered.EXTRA)))
@@ -43,5 +46,6 @@ def test_entry(spark):
 
 
 def test_file_listing(spark, sf):
-    rows = registered.queries()["file_listing"](spark, sf).collect()
+    listed = files.list_files(spark, sf, "*.parquet")
+    rows = listed.select(text.file_name(F.col("uri")).alias("name"), "content_type", "length").collect()
     assert {r.name for r in rows} == {f"{name}.parquet" for name in TABLES.split()}
