@@ -24,8 +24,8 @@ PERCENT = 80
 #: Part of the order in which n-grams of one document alone are counted. Documents of which enough are found
 #: there are done; any part gives the same result.
 COUNTED = 0.4
-#: N-grams of a fragment and documents of a block, about.
-FRAGMENT, BLOCK = 1 << 21, 2_000
+#: N-grams of a fragment and pairs of a block, about.
+FRAGMENT, BLOCK = 1 << 21, 10_000
 #: Fragments in which the overlap of pairs is counted.
 PAIR_FRAGMENTS = 4
 #: Keys by which a document meets others that are probably like it.
@@ -79,7 +79,7 @@ FRAGMENTS = "fragment int, ids binary, labels binary, counts binary, grams binar
 
 
 def _own_grams(table: pa.Table) -> pa.Table:
-    """How many n-grams of each document in a fragment occur under its own label only."""
+    """How many n-grams of each document in a fragment occur under its own label only, and which of them in order."""
 
     def joined(name: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -93,17 +93,24 @@ def _own_grams(table: pa.Table) -> pa.Table:
     owner, grams = owner[order], grams[order]
     starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
     if not len(starts):
-        return pa.table({"sig": pa.array([], pa.int64()), "own": pa.array([], pa.int64())})
+        return pa.table({"sig": pa.array([], pa.int64()), "own": pa.array([], pa.int64()), "fragment": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
     label = labels[owner]
     alone = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
-    own = np.bincount(owner[np.repeat(alone, np.diff(np.append(starts, len(grams))))], minlength=len(ids))
-    some = own > 0
-    return pa.table({"sig": ids[some], "own": own[some].astype(np.int64)})
+    flags = np.zeros(len(grams), bool)
+    flags[order] = np.repeat(alone, np.diff(np.append(starts, len(grams))))  # back in the documents' order
+    cuts = np.cumsum([0, *np.where(first[place] == np.arange(len(ids)), counts, 0).tolist()], dtype=np.int64)
+    some = [i for i in range(len(ids)) if flags[cuts[i] : cuts[i + 1]].any()]
+    own = np.array([flags[cuts[i] : cuts[i + 1]].sum() for i in some], np.int64)
+    bits = [np.packbits(flags[cuts[i] : cuts[i + 1]]).tobytes() for i in some]
+    number = [table.column("fragment")[0].as_py()] * len(some)
+    return pa.table({"sig": pa.array(ids[some], pa.int64()), "own": own, "fragment": pa.array(number, pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def own_counts(fragments: DataFrame) -> DataFrame:
-    """``sig, own``: summed over the fragments, the n-grams that no document of another label has."""
-    return fragments.groupBy("fragment").applyInArrow(_own_grams, "sig long, own long").groupBy("sig").agg(F.sum("own").alias("own"))
+def own_counts(fragments: DataFrame, marks: bool = False) -> DataFrame:
+    """``sig, own``: summed over the fragments, the n-grams that no document of another label has; with ``marks`` also which."""
+    found = fragments.groupBy("fragment").applyInArrow(_own_grams, "sig long, own long, fragment int, bits binary")
+    which = [F.collect_list(F.struct("fragment", "bits")).alias("marks")] * marks
+    return found.groupBy("sig").agg(F.sum("own").alias("own"), *which)
 
 
 def _cut_texts(fragments: int, share: float):
@@ -143,14 +150,13 @@ def _possible(own: Column, n: Column) -> Column:
 def overlaps(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """``a, b, common`` of the pairs ``a, b`` of signatures in ``known``.
 
-    The pairs of a document go to blocks of about ``BLOCK`` pairs, a document with very many pairs to
-    several; a block counts them fragment by fragment, and the counts are summed per pair.
+    A pair goes to the block of both documents' hashes, of which there are enough for about ``BLOCK`` pairs each,
+    so that neither a document with very many pairs nor a dense group weighs on one block. A block counts its
+    pairs fragment by fragment, and the counts are summed per pair.
     """
-    size = pairs.groupBy("b").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.expr(f"size div {BLOCK}")))
-    blocks = max(8, math.ceil(pairs.count() / BLOCK))
-    block = F.pmod(F.xxhash64("b", salt), F.lit(blocks)).cast("int")
-    dealt = stored(pairs.join(size, "b").select("a", "b", block.alias("block")), "jaccard-pairs")
+    side = max(2, math.ceil(math.sqrt(pairs.count() / BLOCK)))
+    block = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b", F.lit(1)), F.lit(side))
+    dealt = pairs.select("a", "b", block.cast("int").alias("block"))
     wanted = dealt.select("block", F.col("a").alias("sig")).union(dealt.select("block", F.col("b").alias("sig"))).distinct()
     fragment = F.explode(F.sequence(F.lit(0), F.lit(PAIR_FRAGMENTS - 1)))
 
@@ -177,7 +183,7 @@ def overlaps(pairs: DataFrame, known: DataFrame) -> DataFrame:
             common.append(int((other[np.minimum(at, len(other) - 1)] == one).sum()) if len(one) else 0)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": pa.array(common, pa.int64())})
 
-    segments = wanted.join(known.select("sig", "grams"), "sig").select("block", "sig", "grams").mapInArrow(cut, "block int, fragment int, sig long, grams binary")
+    segments = known.select("sig", "grams").join(wanted.hint("merge"), "sig").select("block", "sig", "grams").mapInArrow(cut, "block int, fragment int, sig long, grams binary")
     asked = dealt.withColumn("fragment", fragment)
     counted = segments.groupBy("block", "fragment").cogroup(asked.groupBy("block", "fragment")).applyInArrow(count, "a long, b long, common long")
     return counted.groupBy("a", "b").agg(F.sum("common").alias("common"))
@@ -206,15 +212,35 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["i", "gram", "sig", "n"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first n-grams in the order, of which documents that are linked share one."""
-    for batch in batches:
-        out = []
-        for sig, n, label, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first = np.frombuffer(grams, np.int64)[: n - -(-PERCENT * n // 100) + 1]
-            out.append((first, np.full(len(first), sig), np.full(len(first), n), np.full(len(first), label)))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "sig", "n", "label"])
+PREFIX = "gram long, sig long, n long, label long, most long, left long"
+
+
+def _size_class(n: Column) -> Column:
+    """Numbers of classes of sizes that differ by a fiftieth."""
+    return F.floor(F.log(n.cast("double")) * 50).cast("int")
+
+
+def _prefixes(fragments: int):
+    """The first n-grams in the order that other labels have too; documents of two labels that are linked share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for *of_set, grams, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                every = np.frombuffer(grams, np.uint64)
+                place = (every >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                other = np.ones(len(every), bool)
+                for mark in marks or []:
+                    low, high = np.searchsorted(place, [mark["fragment"], mark["fragment"] + 1])
+                    other[low:high] = ~np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=high - low).astype(bool)
+                first = every[other].view(np.int64)
+                # what is common lies behind the first one met, and is four fifths of the document at least
+                first, left = first[: max(0, len(first) + (-PERCENT * of_set[1]) // 100 + 1)], len(first)
+                out.append((first, *(np.full(len(first), value) for value in of_set), left - np.arange(len(first))))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "sig", "n", "label", "most", "left"])
+
+    return run
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,8 +271,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_classes = stored(classes.join(own, "sig", "left").filter(_possible(F.col("own"), F.col("n"))).select("sig", "n", "first"), "jaccard-open")
 
     # the sets that may have a partner
-    texts = source.join(open_classes.select(F.col("first").alias("key")), "key", "left_semi")
-    known = texts.mapInArrow(_signatures(True), SET).join(open_classes.select("sig", "first"), "sig", "left_semi")
+    wanted = open_classes.select(F.col("first").alias("key"), "sig").hint("merge")
+    texts = source.join(wanted, "key").select("sig", "text")
+    known = texts.mapInArrow(_signatures(True), SET).filter("key = sig")
     known = stored(known.select("sig", "n", "grams"), "jaccard-sets")
 
     # groups around the smallest document with the same key
@@ -262,13 +289,22 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     label = F.coalesce("label", "sig").alias("label")
     labelled = known.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", label, "grams", "n")
     size = max(8, math.ceil((known.agg(F.sum("n")).first()[0] or 0) / FRAGMENT))
-    outside = own_counts(labelled.select("sig", "label", "grams").mapInArrow(_cut_sets(size), FRAGMENTS))
+    outside = own_counts(labelled.select("sig", "label", "grams").mapInArrow(_cut_sets(size), FRAGMENTS), marks=True)
     rest = labelled.join(outside, "sig", "left").filter(_possible(F.col("own"), F.col("n")))
-    first = stored(rest.select("sig", "n", "label", "grams").mapInArrow(_prefixes, "gram long, sig long, n long, label long"), "jaccard-prefixes")
+    # common <= shared(x) and 9 * common >= 4 * (n(x) + n(y)), so a partner has at most 9/4 * shared(x) - n(x) n-grams
+    rest = rest.withColumn("most", F.expr(f"({100 + PERCENT} * (n - coalesce(own, 0))) div {PERCENT} - n"))
+    first = stored(rest.select("sig", "n", "label", "most", "grams", "marks").mapInArrow(_prefixes(size), PREFIX), "jaccard-prefixes")
     shared = first.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
     first = stored(first.join(shared, "gram", "left_semi").distinct(), "jaccard-shared")
-    other = first.withColumnsRenamed({"sig": "b", "n": "n_b", "label": "label_b"})
-    across = first.join(other, "gram").filter("label < label_b").filter(_alike(F.col("n"), F.col("n_b")))
+    # the smaller of two linked sets must allow for the larger, so it allows for its own size; sizes meet in narrow classes
+    small = first.filter("most >= n").withColumn("class", _size_class(F.col("n"))).withColumnsRenamed({"sig": "b", "n": "n_b", "label": "label_b", "most": "most_b", "left": "left_b"})
+    least, up_to = -F.floor(-F.col("n") * PERCENT / 100), F.least("n", "most")
+    large = first.filter(least <= up_to).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(up_to))))
+    met = (F.col("label") != F.col("label_b")) & (F.col("n_b") <= up_to) & (F.col("n_b") >= least) & (F.col("n") <= F.col("most_b"))
+    met &= (F.col("n") > F.col("n_b")) | (F.col("sig") < F.col("b")) | (F.col("most") < F.col("n"))
+    # at the first n-gram that both have, what is left of either holds all that is common
+    met &= (100 + PERCENT) * F.least("left", "left_b") >= PERCENT * (F.col("n") + F.col("n_b"))
+    across = large.join(small, ["gram", "class"]).filter(met)
     across = stored(across.select(F.col("sig").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct(), "jaccard-across")
     if not across.isEmpty():
         links = stored(links.union(_linked(across, known)), "jaccard-links")
