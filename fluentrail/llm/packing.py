@@ -21,7 +21,7 @@ GROUP_WINDOWS = 256
 #: Tokens a window that differencing leaves free on average, to be filled with cut pieces.
 SPARE = 128
 #: Words a worker remembers before it starts a new memory beside the one before.
-MOST_KEPT = 400_000
+MOST_KEPT = 200_000
 LONGEST_KEPT = 48
 #: Bits of a sequence's number within its task.
 TASK_SHIFT = 36
@@ -158,6 +158,9 @@ class WordIds:
     """Ids of whole texts from those of their words, which the tokenizer works out once."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,20 +172,18 @@ class WordIds:
         if len(self.kept) > MOST_KEPT:
             self.kept, self.older = {}, self.kept
         cut = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        known, fresh = {"": b""}, []
-        for word in {w for words in cut for w in words if w}:
-            if (ids := self.kept.get(word)) is None:
-                if (ids := self.older.get(word)) is None:
-                    fresh.append(word)
-                    continue
-                self.kept[word] = ids
-            known[word] = ids
-        for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[word] = ids = np.array(code.ids, "<u4").tobytes()
-            if len(word) <= LONGEST_KEPT:
-                self.kept[word] = ids
+        kept, older = self.kept, self.older
+        missing = set().union(*cut).difference(kept)
+        fresh = [word for word in missing if word not in older]
+        kept.update((word, older[word]) for word in missing if word in older)
+        codes = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        kept.update((word, np.array(code.ids, "<u4").tobytes()) for word, code in zip(fresh, codes, strict=True))
         mark = np.array([end], "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, words), mark]) for words in cut]
+        out = [b"".join([*map(kept.__getitem__, words), mark]) for words in cut]
+        for word in fresh:
+            if len(word) > LONGEST_KEPT:
+                del kept[word]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -207,7 +208,6 @@ def _pack(path: str, end: int, capacity: int, group: int, key: pa.DataType, with
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(path)
-        words.kept, words.older = {}, {}  # a worker that goes on to other work holds no words of an earlier task
         first = TaskContext.get().partitionId() << TASK_SHIFT
         keys, ids, held = [], [], 0
         for batch in batches:
@@ -221,7 +221,6 @@ def _pack(path: str, end: int, capacity: int, group: int, key: pa.DataType, with
                     yield out
                     first += sequences
                     keys, ids, held = [], [], 0
-        words.kept, words.older = {}, {}
         if keys:
             yield rows(keys, ids, first)[0]
 
