@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ FRAGMENT, BLOCK = 1 << 21, 10_000
 PAIR_FRAGMENTS = 4
 #: Keys by which a document meets others that are probably like it.
 KEYS = 4
+#: Columns of a document's bitmap, 64 places each.
+PARITY = [f"parity{i}" for i in range(8)]
 _SALTS = np.random.default_rng(8).integers(1, 1 << 63, KEYS, dtype=np.uint64)
 HEAD = "key long, sig long, n long"
 SET = "key long, sig long, n long, grams binary"
@@ -215,9 +218,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PREFIX = "gram long, sig long, n long, label long, most long, left long"
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document, for each place of a bitmap, whether an odd number of its n-grams falls there."""
+    for batch in batches:
+        bits = np.zeros((batch.num_rows, 64 * len(PARITY)), np.uint8)
+        for row, grams in zip(bits, batch.column(1).to_pylist(), strict=True):
+            at = np.frombuffer(grams, np.uint64) % np.uint64(len(row))
+            row[:] = np.bincount(at.astype(np.int64), minlength=len(row)) & 1
+        longs = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, i]) for i in range(len(PARITY)))], ["sig", *PARITY])
+
+
+def _least_difference(other: str) -> Column:
+    """N-grams that only one of two documents has are at least as many as the places in which their bitmaps differ."""
+    differ = [F.bit_count(F.col(p).bitwiseXOR(F.col(p + other))).cast("long") for p in PARITY]
+    return reduce(Column.__add__, differ)
+
+
 def _size_class(n: Column) -> Column:
-    """Numbers of classes of sizes that differ by a fiftieth."""
-    return F.floor(F.log(n.cast("double")) * 50).cast("int")
+    """Numbers of classes of sizes that differ by a sixteenth."""
+    return F.floor(F.log(n.cast("double")) * 16).cast("int")
 
 
 def _prefixes(fragments: int):
@@ -257,7 +277,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     over a fifth is found in no other document have no partner; the others are linked with the smallest one
     that has the same smallest shingle under some permutation, if the sets are alike, which joins groups of
     any size with few pairs. Only documents that share at least four fifths with documents of other groups are
-    then compared across groups by prefixes, so no link between groups is lost.
+    then compared across groups by prefixes, so no link between groups is lost. Bitmaps of the sets rule out most
+    pairs of a large group of copies that are not alike enough before they become rows: the places in which two
+    differ bound from below what only one of the sets has.
     """
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     heads = stored(source.mapInArrow(_signatures(False), HEAD), "jaccard-heads")
@@ -295,15 +317,18 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = rest.withColumn("most", F.expr(f"({100 + PERCENT} * (n - coalesce(own, 0))) div {PERCENT} - n"))
     first = stored(rest.select("sig", "n", "label", "most", "grams", "marks").mapInArrow(_prefixes(size), PREFIX), "jaccard-prefixes")
     shared = first.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gram")
-    first = stored(first.join(shared, "gram", "left_semi").distinct(), "jaccard-shared")
+    parities = known.select("sig", "grams").mapInArrow(_parities, ", ".join(["sig long", *(f"{p} long" for p in PARITY)])).distinct()
+    first = stored(first.join(shared, "gram", "left_semi").distinct().join(parities, "sig"), "jaccard-shared")
     # the smaller of two linked sets must allow for the larger, so it allows for its own size; sizes meet in narrow classes
-    small = first.filter("most >= n").withColumn("class", _size_class(F.col("n"))).withColumnsRenamed({"sig": "b", "n": "n_b", "label": "label_b", "most": "most_b", "left": "left_b"})
+    small = first.filter("most >= n").withColumn("class", _size_class(F.col("n"))).withColumnsRenamed({"sig": "b", "n": "n_b", "label": "label_b", "most": "most_b", "left": "left_b"} | {p: f"{p}_b" for p in PARITY})
     least, up_to = -F.floor(-F.col("n") * PERCENT / 100), F.least("n", "most")
     large = first.filter(least <= up_to).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(up_to))))
     met = (F.col("label") != F.col("label_b")) & (F.col("n_b") <= up_to) & (F.col("n_b") >= least) & (F.col("n") <= F.col("most_b"))
     met &= (F.col("n") > F.col("n_b")) | (F.col("sig") < F.col("b")) | (F.col("most") < F.col("n"))
     # at the first n-gram that both have, what is left of either holds all that is common
     met &= (100 + PERCENT) * F.least("left", "left_b") >= PERCENT * (F.col("n") + F.col("n_b"))
+    # in a group of copies that are nearly alike enough, most pairs end here and are never rows
+    met &= (100 + PERCENT) * _least_difference("_b") <= (100 - PERCENT) * (F.col("n") + F.col("n_b"))
     across = large.join(small, ["gram", "class"]).filter(met)
     across = stored(across.select(F.col("sig").alias("a"), "b", F.col("n").alias("n_a"), "n_b").distinct(), "jaccard-across")
     if not across.isEmpty():
