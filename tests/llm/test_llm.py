@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,21 @@ def test_jaccard_join_of_a_loose_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(df).collect()} == brute_groups(rows)
 
 
+def test_bitmaps_never_differ_in_more_places_than_sets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, n, replace=False), rng.integers(1, 1 << 63, 20, dtype=np.uint64))) for n in (0, 5, 200, 380, 390, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "grams"])
+    (out,) = jaccard._parities(iter([batch]))
+    maps = np.array([out.column(p).to_numpy() for p in jaccard.PARITY]).T
+    for a, one in zip(sets, maps, strict=True):
+        for b, other in zip(sets, maps, strict=True):
+            differ = np.unpackbits((one ^ other).view(np.uint8)).sum()
+            assert differ <= len(np.setxor1d(a, b)) and (differ == 0 or len(np.setxor1d(a, b)))
+    (none,) = jaccard._parities(iter([batch.slice(0, 0)]))
+    assert none.num_rows == 0
+
+
 def brute_repeats(texts, length=200):
     count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
