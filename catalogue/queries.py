@@ -284,7 +284,8 @@ def progress_summary_all(spark: SparkSession, sf: str) -> DataFrame:
 def daily_fluency_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Closed days only: the last days stay open until later runs pass the watermark."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # a pattern, since a plain path of a stream must be a folder
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     daily = daily_stream.daily_fluency_stream(inputs.runs_of(events), USER)
     out, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "daily-checkpoint")
     daily_stream.write_days(daily, out, checkpoint).awaitTermination()
@@ -451,7 +452,7 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     out = scratch_path(spark, "chunks")
     for _ in range(2):
-        rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+        rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
         arriving = rows.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri"), "text")
         ingest.ingest_stream(arriving, out, scratch_path(spark, "chunks-checkpoint")).awaitTermination()
     stored = tables.read_table(spark, out, DOCUMENT_EMBEDDINGS)
