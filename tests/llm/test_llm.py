@@ -196,6 +196,52 @@ def test_passages(docs, empty, spark):
     assert passages.near_passages(empty).count() == 0
 
 
+def brute_alike(a, b):
+    """Places of ``a`` in a window alike one of ``b``, over all pairs of windows of which one has the least width."""
+    out, least, reach = set(), passages.WIDTH, passages.REACH
+    for x, y, swapped in ((a, b, False), (b, a, True)):
+        for i in range(len(x) - least + 1):
+            own = set(x[i : i + least])
+            for j in range(len(y) - least + 1):
+                for width in range(least, min(reach, len(y) - j) + 1):
+                    other = set(y[j : j + width])
+                    if 100 * len(own & other) >= passages.PERCENT * len(own | other):
+                        out |= set(range(j, j + width)) if swapped else set(range(i, i + least))
+    return out
+
+
+@pytest.mark.parametrize("edit", ["insert", "delete", "replace", "two", "several", "repeat", "far"])
+def test_like_passages_as_by_all_windows(edit):
+    core = [f"p{i}" for i in range(60)]
+    changed = {
+        "insert": core[:30] + ["new"] + core[30:],
+        "delete": core[:25] + core[26:],
+        "replace": [*core[:40], "new", *core[41:]],
+        "two": core[:30] + ["new", "newer"] + core[30:54],
+        "several": [w for i, w in enumerate(core) for w in ([w, "new"] if i % 6 == 5 else [w])],
+        "repeat": core[:20] + ["again"] * 12 + core[20:],
+        "far": core[25:50] + core[:25],
+    }[edit]
+    text = [*(f"a{i}" for i in range(9)), *core, *(f"b{i}" for i in range(7))], [*(f"c{i}" for i in range(4)), *changed, *(f"d{i}" for i in range(11))]
+    a, b = passages._grams(pa.array([" ".join(t) for t in text]))
+    wanted = brute_alike(a.tolist(), b.tolist())
+    runs = passages.alike(a, b, 5, 20, 20)
+    got = {i for start, end in runs for i in range(start, end)}
+    assert wanted <= got and bool(wanted) == bool(got) == (edit not in ("several", "repeat"))
+    # beyond the windows only shingles that the other text has
+    assert set(a[sorted(got - wanted)].tolist()) <= set(b.tolist())
+
+
+def test_passages_with_inserted_words(spark):
+    short, long = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(300)]
+    spread = [w for i, w in enumerate(long) for w in (["new", w] if i and i % 40 == 0 else [w])]
+    texts = [short, short[:30] + ["new"] + short[30:], long, spread]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = [(*sorted((r.doc_id, r.other)), r.start, r.end) for r in passages.near_passages(docs).collect()]
+    assert {f[:2] for f in found} == {(0, 1), (2, 3)}
+    assert sum(end - start for a, _, start, end in found if a == 2) > 0.8 * len(" ".join(long))
+
+
 def test_compact_windows_are_the_wide_nodes():
     values = np.random.default_rng(6).permutation(400).astype(np.uint64)
     left, centre, right = passages.compact_windows(values, 20)
