@@ -242,6 +242,23 @@ def test_passages_with_inserted_words(spark):
     assert sum(end - start for a, _, start, end in found if a == 2) > 0.8 * len(" ".join(long))
 
 
+def test_passages_that_the_head_of_a_signature_lacks(spark):
+    line = [f"line{i}" for i in range(44)]
+
+    def doc(tag, shared):
+        return " ".join([*(f"{tag}a{i}" for i in range(30)), *shared, *(f"{tag}b{i}" for i in range(30))])
+
+    texts = {n: doc(f"single{n}", line) for n in range(60)}
+    wanted = set()
+    for n in range(40):
+        shared = [*(f"s{n}x{i}" for i in range(3)), *line, *(f"s{n}y{i}" for i in range(3))]
+        texts |= {100 + 2 * n: doc(f"one{n}", shared), 101 + 2 * n: doc(f"two{n}", shared)}
+        wanted.add((100 + 2 * n, 101 + 2 * n))
+    found = passages.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    pairs = {tuple(sorted((r.doc_id, r.other))) for r in found.collect()}
+    assert pairs <= wanted and len(pairs) == len(wanted)
+
+
 def test_compact_windows_are_the_wide_nodes():
     values = np.random.default_rng(6).permutation(400).astype(np.uint64)
     left, centre, right = passages.compact_windows(values, 20)
