@@ -210,7 +210,7 @@ def brute_alike(a, b):
     return out
 
 
-@pytest.mark.parametrize("edit", ["insert", "delete", "replace", "two", "several", "repeat", "far"])
+@pytest.mark.parametrize("edit", ["insert", "delete", "replace", "two", "several", "repeat", "far", "periodic"])
 def test_like_passages_as_by_all_windows(edit):
     core = [f"p{i}" for i in range(60)]
     changed = {
@@ -221,6 +221,7 @@ def test_like_passages_as_by_all_windows(edit):
         "several": [w for i, w in enumerate(core) for w in ([w, "new"] if i % 6 == 5 else [w])],
         "repeat": core[:20] + ["again"] * 12 + core[20:],
         "far": core[25:50] + core[:25],
+        "periodic": core[:5] * 5 + core[5:],
     }[edit]
     text = [*(f"a{i}" for i in range(9)), *core, *(f"b{i}" for i in range(7))], [*(f"c{i}" for i in range(4)), *changed, *(f"d{i}" for i in range(11))]
     a, b = passages._grams(pa.array([" ".join(t) for t in text]))
