@@ -11,8 +11,6 @@ from fluentrail.llm.common import stored
 
 #: Children of a node.
 FANOUT = 16
-#: Records of an archive, at most; positions count from 0.
-ARCHIVE_RECORDS = 4096
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -34,16 +32,19 @@ def _parts(digest: Column) -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
 
 
+def _parent(fanout: int) -> Column:
+    return F.expr(f"(node - pmod(node, {fanout})) div {fanout}")
+
+
 def leaves(records: DataFrame, archive: str, position: str, record: str) -> DataFrame:
     """One leaf per archive and position: ``archive, position, start, end, digest``, in offsets of the archive.
 
-    Positions run from 0 below ``ARCHIVE_RECORDS``; others, and null archives or positions, raise no error and
-    take no part. Records that share a place form one leaf, whose digest does not depend on their order; they
+    Every position counts, also one below 0. Null archives or positions raise no error and take no part. Records that share a place form one leaf, whose digest does not depend on their order; they
     are summed up before the shuffle, so a place with a third of all rows is no hot task.
     """
     digest = F.sha2(F.col("record").cast("binary"), 256)
     source = records.select(F.col(archive).alias("archive"), F.col(position).cast("long").alias("position"), F.col(record).alias("record"))
-    source = source.filter(F.col("archive").isNotNull() & F.col("position").between(0, ARCHIVE_RECORDS - 1))
+    source = source.filter(F.col("archive").isNotNull() & F.col("position").isNotNull())
     source = source.select("archive", "position", F.octet_length(F.coalesce("record", F.lit(""))).alias("size"), digest.alias("digest"))
     sums = [F.sum(part).alias(f"part{i}") for i, part in enumerate(_parts(F.col("digest")))]
     places = source.groupBy("archive", "position").agg(F.count("*").alias("copies"), F.sum("size").alias("size"), *sums)
@@ -57,16 +58,17 @@ def merkle_tree(records: DataFrame, archive: str = "archive", position: str = "p
     """Nodes of one tree per archive: ``archive, level, node, start, end, digest``; leaves have level 0.
 
     A node of level ``n`` covers ``fanout ** n`` positions; its digest covers its children's digests, offset
-    ranges and numbers in order. The root has the one level that covers ``ARCHIVE_RECORDS``. An empty table
-    has no nodes.
+    ranges and numbers in order. All archives have as many levels as the farthest position needs, so that one
+    node holds those from 0 on and one those below 0, if there are any. An empty table has no nodes.
     """
     nodes = stored(leaves(records, archive, position, record).select("archive", F.lit(0).alias("level"), F.col("position").alias("node"), "start", "end", "digest"), "merkle-leaves")
-    levels, reach = [nodes], 1
-    while reach < ARCHIVE_RECORDS:
-        reach *= fanout
+    low, high = nodes.agg(F.min("node"), F.max("node")).first()
+    levels = [nodes]
+    while low is not None and (low < -1 or high > 0):
+        low, high = low // fanout, high // fanout
         child = F.struct("node", "start", "end", "digest")
-        up = levels[-1].groupBy("archive", F.expr(f"node div {fanout}").alias("parent")).agg(F.array_sort(F.collect_list(child)).alias("children"))
-        text = F.transform("children", lambda c: F.concat_ws(":", c["node"] % fanout, c["start"], c["end"], c["digest"]))
+        up = levels[-1].groupBy("archive", _parent(fanout).alias("parent")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+        text = F.transform("children", lambda c: F.concat_ws(":", F.pmod(c["node"], F.lit(fanout)), c["start"], c["end"], c["digest"]))
         levels.append(
             up.select(
                 "archive",
@@ -83,18 +85,20 @@ def merkle_tree(records: DataFrame, archive: str = "archive", position: str = "p
 def audit(first: DataFrame, second: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Places where two replicas differ: ``archive, position, start, end, kind, first_digest, second_digest``.
 
-    Roots are compared first; a branch is entered only where digests differ, so equal archives cost one row.
+    Roots are compared first; a branch is entered only where digests differ, so equal archives cost one row. Of
+    trees of different height the levels that only one has are left out.
     ``kind`` is ``changed``, ``lost`` (only in the first) or ``added`` (only in the second); ``moved`` is a
     record that is whole but lies elsewhere. Offsets are the first replica's, the second's where it was added.
     """
-    top = max(first.agg(F.max("level")).first()[0] or 0, second.agg(F.max("level")).first()[0] or 0)
+    heights = [tree.agg(F.max("level")).first()[0] for tree in (first, second)]
+    top = min((h for h in heights if h is not None), default=0)
     open_nodes = None
     for level in range(top, -1, -1):
         sides = []
         for side, tree in (("first", first), ("second", second)):
             own = tree.filter(F.col("level") == level)
             if open_nodes is not None:
-                own = own.withColumn("parent", F.expr(f"node div {fanout}")).join(open_nodes, ["archive", "parent"], "left_semi")
+                own = own.withColumn("parent", _parent(fanout)).join(open_nodes, ["archive", "parent"], "left_semi")
             sides.append(own.select("archive", "node", *(F.col(c).alias(f"{side}_{c}") for c in ("start", "end", "digest"))))
         both = sides[0].join(sides[1], ["archive", "node"], "full_outer")
         whole = F.col("first_digest").eqNullSafe(F.col("second_digest"))

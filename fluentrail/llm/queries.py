@@ -103,8 +103,8 @@ def op6_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     thirteen ends at its 900th record.
     """
     pages = _read(spark, folder, "pages").select(
-        F.expr("page_id div 1000").alias("archive"),
-        (F.col("page_id") % 1000).alias("position"),
+        F.expr("(page_id - pmod(page_id, 1000)) div 1000").alias("archive"),
+        F.pmod("page_id", F.lit(1000)).alias("position"),
         warc_record(F.col("url"), F.col("html")).alias("record"),
     )
     damaged = F.when(F.col("position") % 50 == 7, F.overlay("record", F.lit("?"), 1)).otherwise(F.col("record"))

@@ -364,6 +364,16 @@ def test_fixity(spark):
     assert audit(merkle_tree(one.filter("false")), merkle_tree(one.filter("false"))).count() == 0
 
 
+def test_fixity_of_long_archives(spark):
+    one = spark.range(-20, 6000).selectExpr("'a' as archive", "id as position", "cast(id as string) as record")
+    other = one.filter("position <> 4096").withColumn("record", F.expr("if(position in (-7, 5000), 'damaged', record)"))
+    other = other.union(spark.createDataFrame([("a", 70000, "new")], other.schema))
+    found = {(r.position, r.kind) for r in audit(merkle_tree(one), merkle_tree(other)).collect() if r.kind != "moved"}
+    assert found == {(-7, "changed"), (4096, "lost"), (5000, "changed"), (70000, "added")}
+    nothing = one.filter("false")
+    assert audit(merkle_tree(one), merkle_tree(nothing)).count() == 6020 == audit(merkle_tree(nothing), merkle_tree(one)).count()
+
+
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string"
     same = [(0, "user", "hi"), (1, "assistant", "yes?")]
