@@ -261,6 +261,20 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     return source.mapInArrow(_batches(out, make), f"key {kind.simpleString()}, score double, weight double, words long, terms array<string>").withColumnRenamed("key", key)
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text scores below ``least``; each is decided where it is read."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, place):
+                folded = [fold(t) for t in part.column(place).to_pylist()]
+                weight = np.array([math.fsum(w for _, _, w in hits(f, lexicon)) for f in folded])
+                yield part.filter(pa.array(lexicon.score(weight, np.array([len(f.split()) for f in folded], np.int64)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are not learned from."""
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
