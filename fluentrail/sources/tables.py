@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fluentrail.schemas import conform
 
@@ -14,7 +15,7 @@ from fluentrail.schemas import conform
 LOCAL_ZONE = "Asia/Kolkata"
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A table, or an empty one if nothing has been written there yet."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -38,10 +39,33 @@ def replace_table(df: DataFrame, path: str, schema: str) -> None:
     conform(df, schema).write.mode("overwrite").parquet(path)
 
 
+def set_apart(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of ``df`` with a key. Those without go to the table ``<path>-without-<key>``.
+
+    Rows there are told apart by all their columns, so a second try adds nothing; equal ones count once.
+    """
+    apart, content = f"{path.rstrip('/')}-without-{key}", F.sha2(F.to_json(F.struct(*df.columns)), 256)
+    have = read_table(df.sparkSession, apart, df.schema).select(content.alias("_content"))
+    lost = df.where(F.col(key).isNull()).withColumn("_content", content).join(have, "_content", "left_anti")
+    lost = lost.dropDuplicates(["_content"]).select(df.columns)
+    if not lost.isEmpty():
+        lost.write.mode("append").parquet(apart)
+    return df.where(F.col(key).isNotNull())
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each key the one that is last in the order of its JSON text."""
+    row = F.struct(*df.columns)
+    return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def not_stored(df: DataFrame, path: str, schema: str, key: str) -> DataFrame:
-    """One row for each key of ``df`` that the table lacks, so that a second try adds nothing."""
+    """One row for each key of ``df`` that the table lacks, so that a second try adds nothing.
+
+    Rows without key are set apart; of several with one key the last by its JSON text counts.
+    """
     have = read_table(df.sparkSession, path, schema).select(key).distinct()
-    return df.dropDuplicates([key]).join(have, key, "left_anti")
+    return one_per_key(set_apart(df, path, key).join(have, key, "left_anti"), key).select(df.columns)
 
 
 def append_new(df: DataFrame, path: str, schema: str, key: str) -> None:

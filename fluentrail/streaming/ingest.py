@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fluentrail.operators.chunks import CHUNK_SIZE, chunk_text, embed
 from fluentrail.operators.incremental import new_files
 from fluentrail.schemas import DOCUMENT_EMBEDDINGS
-from fluentrail.sources.tables import append_rows, read_table
+from fluentrail.sources.tables import append_rows, one_per_key, read_table, set_apart
 
 
 def embed_documents(files: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
@@ -20,10 +20,12 @@ def ingest_batch(files: DataFrame, table: str, size: int = CHUNK_SIZE) -> None:
     """Append the chunks of the files that the table does not have yet, each file once.
 
     A file's chunks leave one task in one file, so the table has all of them or
-    none, and a batch that is tried again adds only what is missing.
+    none, and a batch that is tried again adds only what is missing. Files without
+    name are set apart unchunked; of several texts of one name the last counts.
     """
     done = read_table(files.sparkSession, table, DOCUMENT_EMBEDDINGS)
-    fresh = new_files(files.select("uri", "text").dropDuplicates(["uri"]), done)
+    named = set_apart(files.select("uri", "text"), table, "uri")
+    fresh = one_per_key(new_files(named, done), "uri")
     append_rows(embed_documents(fresh, size), table, DOCUMENT_EMBEDDINGS)
 
 

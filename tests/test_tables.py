@@ -130,6 +130,24 @@ def test_ingest_twice_and_duplicates(spark, tmp_path):
     assert deliver("other", ("c", "z")) == [*first, ("c", "c1")]
 
 
+def test_files_without_name_are_set_apart(spark, tmp_path):
+    table = str(tmp_path / "chunks")
+    files = spark.createDataFrame([(None, "a b"), (None, "c d"), ("f", "one"), ("f", "two"), ("g", "x")], "uri STRING, text STRING")
+    for _ in range(2):
+        ingest.ingest_batch(files.orderBy(F.rand()), table)
+    assert sorted((r.uri, r.content) for r in spark.read.parquet(table).collect()) == [("f", "two"), ("g", "x")]
+    assert sorted(r.text for r in spark.read.parquet(f"{table}-without-uri").collect()) == ["a b", "c d"]
+
+
+def test_rows_without_key_are_set_apart(spark, tmp_path):
+    path = str(tmp_path / "courses")
+    rows = spark.createDataFrame([(None, "t1", "d", "c", "u"), (None, "t2", "d", "c", "u"), ("1", "a", "d", "c", "u"), ("1", "b", "d", "c", "u")], COURSES)
+    for _ in range(2):
+        tables.append_new(rows, path, COURSES, "course_id")
+    assert [(r.course_id, r.title) for r in tables.read_table(spark, path, COURSES).collect()] == [("1", "b")]
+    assert sorted(r.title for r in spark.read.parquet(f"{path}-without-course_id").collect()) == ["t1", "t2"]
+
+
 def test_daily_stream_gives_closed_days(spark, tmp_path):
     rows = [(datetime(2024, 1, d, h), 1, json.dumps({"severity_score": d / 100 + h / 1000})) for d in range(1, 6) for h in (1, 9)]
     runs = spark.createDataFrame(rows, "processed_at TIMESTAMP, user_id BIGINT, metrics STRING")
