@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluentrail.functions import scores
-from fluentrail.operators.progress import with_metric_fields
+from fluentrail.operators.progress import daily_fluency, with_metric_fields
 
 
 def daily_fluency_stream(
@@ -16,7 +16,7 @@ def daily_fluency_stream(
     """The batch job ``daily_fluency`` on a stream, in append mode.
 
     A day comes out once the watermark has passed its end, and then for good; runs
-    later than ``delay`` after that are left out. State is one row per series and
+    later than ``delay`` after that are left out (``keep_days`` takes them in). State is one row per series and
     open day. ``processed_at`` must be a timestamp with time zone.
     """
     parsed = with_metric_fields(
@@ -41,3 +41,28 @@ def write_days(daily: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def keep_days(
+    arriving: DataFrame, runs: str, table: str, checkpoint: str, series: tuple[str, ...] = (), metrics_col: str = "metrics"
+) -> StreamingQuery:
+    """Keep a table of daily means equal to the batch job over all stored runs, open days and late runs too.
+
+    ``arriving`` is a stream of the runs stored at ``runs``. Each batch works the days it touches out again from
+    there and replaces them, one folder of the table a day; a batch that is tried again gives the same.
+    """
+
+    def update(batch: DataFrame, _: int) -> None:
+        day = F.to_date("processed_at")
+        touched = batch.select(day.alias("_day")).distinct()
+        stored = batch.sparkSession.read.schema(arriving.schema).parquet(runs)
+        own = stored.join(F.broadcast(touched), day.eqNullSafe(F.col("_day")), "left_semi")
+        days = daily_fluency(own, series, metrics_col)
+        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("processed_day").parquet(table)
+
+    return (
+        arriving.writeStream.foreachBatch(update)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fluentrail.operators.progress import daily_fluency
 from fluentrail.plans import analysis
 from fluentrail.schemas import ANALYSIS_RESULTS, COURSES, DOCUMENT_EMBEDDINGS, TRANSCRIPTS, conform
 from fluentrail.session import scratch_path
@@ -148,6 +149,22 @@ def test_rows_without_key_are_set_apart(spark, tmp_path):
     assert sorted(r.title for r in spark.read.parquet(f"{path}-without-course_id").collect()) == ["t1", "t2"]
 
 
+def test_late_runs_and_open_days_count(spark, tmp_path):
+    def run(day, hour, severity):
+        return datetime(2024, 1, day, hour), 1, json.dumps({"severity_score": severity})
+
+    schema = "processed_at TIMESTAMP, user_id BIGINT, metrics STRING"
+    source, table = str(tmp_path / "runs"), str(tmp_path / "days")
+    for rows in ([run(1, 1, 0.1), run(9, 1, 0.2)], [run(1, 2, 0.3)], [(None, 1, "{}"), run(9, 3, 0.4), run(5, 1, 0.0)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        daily.keep_days(stream, source, table, str(tmp_path / "checkpoint"), ("user_id",)).awaitTermination()
+        runs = spark.read.schema(schema).parquet(source)
+        wanted = {(r.user_id, r.processed_day): r.fluency_score for r in daily_fluency(runs, ("user_id",)).collect()}
+        got = [((r.user_id, r.processed_day), r.fluency_score) for r in spark.read.parquet(table).collect()]
+        assert len(got) == len(wanted) and dict(got) == {k: v if v is None else pytest.approx(v) for k, v in wanted.items()}
+
+
 def test_daily_stream_gives_closed_days(spark, tmp_path):
     rows = [(datetime(2024, 1, d, h), 1, json.dumps({"severity_score": d / 100 + h / 1000})) for d in range(1, 6) for h in (1, 9)]
     runs = spark.createDataFrame(rows, "processed_at TIMESTAMP, user_id BIGINT, metrics STRING")
