@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluentrail.llm.bestfit import pack_best_fit
 from fluentrail.llm.fixity import audit, merkle_tree, warc_record
 from fluentrail.llm.jaccard import link_documents
 from fluentrail.llm.mtree import top_k
@@ -174,6 +175,12 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight", "words")
 
 
+def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in few sequences of at most 2048 tokens."""
+    pieces = pack_best_fit(_read(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
+    return pieces.withColumnRenamed("crc32", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mtree": op2_mtree,
@@ -185,5 +192,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_projections": op9_projections,
     "op10_toxicity": op10_toxicity,
+    "op12_best_fit": op12_best_fit,
 }
 ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL}
