@@ -16,6 +16,7 @@ from fluentrail.llm.passages import near_passages
 from fluentrail.llm.pieces import encode_pieces
 from fluentrail.llm.preference import format_preferences
 from fluentrail.llm.projections import nearest
+from fluentrail.llm.ranked import search_documents
 from fluentrail.llm.repeats import removed_bytes, repeated_spans
 from fluentrail.llm.toxicity import held_out, learn_labels, score
 
@@ -181,6 +182,36 @@ def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumnRenamed("crc32", "ids_crc32")
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    return search_documents(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL),
+items AS (
+    SELECT row_number() OVER () AS q, item_id,
+           list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+    FROM benchmark WHERE text IS NOT NULL),
+sizes AS (SELECT count(*) AS n_docs, sum(len(terms)) AS n_terms FROM docs WHERE len(terms) > 0),
+measured AS (SELECT d, doc_id, terms, 50 + CAST((50 * len(terms) * n_docs) // n_terms AS BIGINT) AS m FROM docs, sizes WHERE len(terms) > 0),
+postings AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM measured) GROUP BY d, term),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), sizes),
+scored AS (
+    SELECT q, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM (SELECT q, item_id, unnest(terms) AS term FROM items) JOIN weights USING (term) JOIN postings USING (term) JOIN measured USING (d)
+    GROUP BY q, item_id, d, doc_id),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mtree": op2_mtree,
@@ -193,5 +224,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_projections": op9_projections,
     "op10_toxicity": op10_toxicity,
     "op12_best_fit": op12_best_fit,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL}
+ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL, "op13_ranked_search": OP13_SQL}
