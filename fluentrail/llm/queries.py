@@ -17,6 +17,7 @@ from fluentrail.llm.pieces import encode_pieces
 from fluentrail.llm.preference import format_preferences
 from fluentrail.llm.projections import nearest
 from fluentrail.llm.ranked import search_documents
+from fluentrail.llm.repair import digests, repair_conversations
 from fluentrail.llm.repeats import removed_bytes, repeated_spans
 from fluentrail.llm.toxicity import held_out, learn_labels, score
 
@@ -176,6 +177,96 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight", "words")
 
 
+def op11_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged by a checksum of their rows, and their cheapest repairs."""
+    conversations = _read(spark, folder, "conversations")
+    named = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    damage = F.crc32(named) % 20
+    text = F.coalesce("text", F.lit(" "))
+    damaged = conversations.filter(damage != 0).select(
+        "conv_id",
+        "turn",
+        F.when(damage == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(damage == 3, 2).otherwise(1))).alias("copy"),
+    )
+    repaired = repair_conversations(damaged)
+    said = digests(repaired.turns)
+    every = conversations.select("conv_id").distinct()
+    report = every.join(repaired.reports.withColumnRenamed("conv_id", "own_id"), F.col("conv_id").eqNullSafe(F.col("own_id")), "left")
+    report = report.join(said.withColumnRenamed("conv_id", "said_id"), F.col("conv_id").eqNullSafe(F.col("said_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return report.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _plus(value: str, letter: str, cost: str) -> str:
+    """SQL for a cost of twelve digits with an audit behind it, after one more edit."""
+    return f"lpad(CAST(CAST(left({value}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {letter} || substr({value}, 13)"
+
+
+def _edit(value: str, initial: str) -> str:
+    return f"CASE WHEN stays THEN {_plus(value, f"CASE WHEN x = '{initial}' THEN 'K' ELSE 'R' END", f"CASE WHEN x = '{initial}' THEN t ELSE t + 2 END")} END"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE keyed AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS signs
+    FROM conversations),
+bits AS (
+    SELECT *, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(signs, lambda s: [CAST(ascii(s) + 1 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS steps FROM keyed),
+summed AS (
+    SELECT *, xor(list_reduce(steps, lambda a, v: CASE WHEN (xor(a, CASE WHEN v > 0 THEN v - 1 ELSE 0 END) & 1) = 1
+        THEN xor(xor(a, CASE WHEN v > 0 THEN v - 1 ELSE 0 END) >> 1, 3988292384) ELSE xor(a, CASE WHEN v > 0 THEN v - 1 ELSE 0 END) >> 1 END), 4294967295) % 20 AS damage
+    FROM bits),
+damaged AS (
+    SELECT c, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+           CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM summed WHERE damage <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last,
+                lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair FROM numbered),
+faults AS (
+    SELECT c, i, turn, role, text, left(role, 1) AS x, pair, last = '' AS blank, last <> '' AND again AS duplicate,
+           last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS truncated FROM seen),
+rows AS (SELECT *, NOT (blank OR duplicate) AS stays, CASE WHEN truncated THEN 1 ELSE 0 END AS t FROM faults),
+counted AS (
+    SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY c),
+best AS (
+    SELECT c, n + 1 AS i, '000000000000' AS v0, '000000000004II' AS v1, '000000000002I' AS v2, '000000000000' AS v3 FROM counted
+    UNION ALL
+    SELECT c, i, least(w0, {_plus('w2', "'I'", '2')}, {_plus('w3', "'II'", '4')}), least(w1, {_plus('w2', "'I'", '2')}, {_plus('w3', "'II'", '4')}),
+           least(w2, {_plus('w3', "'I'", '2')}), least(w3, {_plus('w2', "'I'", '2')})
+    FROM (
+        SELECT c, r.i,
+               least({_plus('v0', "'D'", '3')}, CASE WHEN stays AND x = 's' THEN {_plus('v1', "'K'", 't')} END, {_edit('v2', 'u')}) AS w0,
+               least({_plus('v1', "'D'", '3')}, {_edit('v2', 'u')}) AS w1,
+               least({_plus('v2', "'D'", '3')}, {_edit('v3', 'a')}) AS w2,
+               least({_plus('v3', "'D'", '3')}, {_edit('v2', 'u')}) AS w3
+        FROM best b JOIN rows r USING (c) WHERE r.i = b.i - 1)),
+audits AS (SELECT c, CAST(left(v0, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit FROM best WHERE i = 1),
+letters AS (SELECT c, unnest(range(1, length(audit) + 1)) AS p, audit FROM audits),
+placed AS (
+    SELECT c, p, audit[p] AS letter, p - length(replace(audit[1:p], 'I', '')) AS inserted, length(replace(audit[1:p], 'D', '')) AS place FROM letters),
+taken AS (SELECT l.c, p, letter, place, r.role, r.x, CASE WHEN letter <> 'I' THEN r.text END AS text FROM placed l LEFT JOIN rows r ON r.c = l.c AND r.i = p - inserted),
+led AS (SELECT *, max(CASE WHEN place = 1 AND letter = 'K' AND x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS led FROM taken WHERE letter <> 'D'),
+said AS (
+    SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS said
+    FROM led GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM keyed) LEFT JOIN counted USING (c) LEFT JOIN audits USING (c) LEFT JOIN said USING (c)
+"""
+
+
 def op12_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in few sequences of at most 2048 tokens."""
     pieces = pack_best_fit(_read(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), with_ids=False)
@@ -223,7 +314,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_projections": op9_projections,
     "op10_toxicity": op10_toxicity,
+    "op11_structure_repair": op11_structure_repair,
     "op12_best_fit": op12_best_fit,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL, "op13_ranked_search": OP13_SQL}
+ORACLE: dict[str, str] = {"op2_mtree": OP2_SQL, "op6_merkle_fixity": OP6_SQL, "op7_preference": OP7_SQL, "op11_structure_repair": OP11_SQL, "op13_ranked_search": OP13_SQL}
