@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -5,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fluentrail.operators import search
-from fluentrail.operators.lists import build_lists, search_lists
+from fluentrail.operators.lists import build_lists, open_lists, search_lists
 
 RNG = np.random.default_rng(7)
 
@@ -15,19 +17,27 @@ def frame(spark, vectors, name, parts=3):
     return spark.createDataFrame(rows, f"{name} BIGINT, embedding ARRAY<DOUBLE>").repartition(parts)
 
 
+def added(terms):
+    """The terms summed from the first to the last."""
+    total = 0.0
+    for x in terms:
+        total += float(x)
+    return total
+
+
 def brute(base, queries, k, metric):
     found = []
     for qi, q in enumerate(queries):
         ranked = []
         for bi, b in enumerate(base):
             if metric == "euclidean":
-                d = float(np.sqrt(((q - b) ** 2).sum()))
+                d = math.sqrt(added((q - b) ** 2))
             elif metric == "dot":
-                d = -float(q @ b)
+                d = -added(q * b)
             else:
-                lengths = np.linalg.norm(q) * np.linalg.norm(b)
-                d = 1 - float(q @ b) / lengths if lengths > 0 else np.inf
-            ranked.append((round(d, 9), bi))
+                lengths = math.sqrt(added(q * q)) * math.sqrt(added(b * b))
+                d = 1 - added(q * b) / lengths if lengths > 0 else np.inf
+            ranked.append((d, bi))
         for rank, (d, bi) in enumerate(sorted(ranked)[:k], start=1):
             found.append((qi, bi, None if d == np.inf else pytest.approx(d, abs=1e-8), rank))
     return found
@@ -86,6 +96,63 @@ def test_all_lists_are_exact_and_one_is_a_part(spark, tmp_path):
     assert "PartitionFilters: [list_id" in part._jdf.queryExecution().toString().replace("isnotnull(list_id", "list_id")
 
 
+def test_vectors_of_tiny_scale_are_told_apart(spark):
+    b = frame(spark, [[3e-10], [2e-10], [1e-10]], "b")
+    q = frame(spark, [[0.0]], "q")
+    for rows in (100, 1):
+        assert [h[:3] for h in hits(search.top_k(b, q, 2, ["b"], ["q"], max_rows=rows))] == [(0, 2, 1e-10), (0, 1, 2e-10)]
+
+
+def test_given_centroids_and_stored_lists(spark, tmp_path):
+    base, queries = RNG.normal(size=(90, 3)), RNG.normal(size=(7, 3))
+    centres = base[:12] + 0.01
+    given = spark.createDataFrame([(10 * i, [float(x) for x in c]) for i, c in enumerate(centres)], "list_id INT, centroid ARRAY<DOUBLE>")
+    for metric in search.METRICS:
+        path = str(tmp_path / metric)
+        build_lists(frame(spark, base, "b"), ["b"], metric=metric, centroids=given, path=path)
+        found = open_lists(spark, path)
+        assert (found.base_key, found.metric) == (["b"], metric)
+
+        def place(v, metric=metric):
+            return v / np.linalg.norm(v, axis=-1, keepdims=True) if metric == "cosine" else v
+
+        home = np.linalg.norm(place(base)[:, None] - centres[None], axis=2).argmin(1)
+        away = -queries @ centres.T if metric == "dot" else np.linalg.norm(place(queries)[:, None] - centres[None], axis=2)
+        # lists without vectors are none
+        away[:, ~np.isin(np.arange(12), home)] = np.inf
+        kept = len(np.unique(home))
+        share = np.argsort(away, axis=1)[:, : math.ceil(0.3 * kept)]
+        wanted = []
+        for qi in range(7):
+            near = np.flatnonzero(np.isin(home, share[qi]))
+            wanted += [(qi, int(near[bi]), d, rank) for _, bi, d, rank in brute(base[near], queries[qi : qi + 1], 4, metric)]
+        assert hits(search_lists(found, frame(spark, queries, "q"), 4, ["q"], fraction=0.3)) == wanted
+        assert hits(search_lists(found, frame(spark, queries, "q"), 4, ["q"])) == brute(base, queries, 4, metric)
+
+
+def test_second_round_skips_lists(spark):
+    """Well separated groups: the second round of an exact search routes no query to any list."""
+    import fluentrail.operators.lists as module
+
+    base = np.vstack([RNG.normal(size=(40, 3)) * 0.1 + 100 * g for g in range(6)])
+    route = module._make_route(4, "euclidean", None)
+    centres = np.array([base[40 * g : 40 * g + 40].mean(0) for g in range(6)])
+    radius = np.array([np.linalg.norm(base[40 * g : 40 * g + 40] - centres[g], axis=1).max() for g in range(6)])
+    index = (centres, np.arange(6), np.full(6, 40), radius)
+    first = route(base, index, None)
+    assert len(first[0]) == 240 and (first[1] == np.arange(240) // 40).all()
+    kth = np.array([np.sort(np.linalg.norm(base - x, axis=1))[3] for x in base])
+    assert len(route(base, index, kth)[0]) == 0
+
+
+def test_too_many_centroids_are_refused(spark, monkeypatch):
+    import fluentrail.operators.lists as module
+
+    monkeypatch.setattr(module, "CENTROID_BYTES", 100)
+    with pytest.raises(ValueError):
+        build_lists(frame(spark, RNG.normal(size=(30, 3)), "b"), ["b"], n_lists=9)
+
+
 def test_missing_vectors_never_match(spark):
     b = frame(spark, [[1, 0], [0, 1]], "b").unionByName(spark.createDataFrame([(9, None)], "b BIGINT, embedding ARRAY<DOUBLE>"))
     q = frame(spark, [[1, 0]], "q").unionByName(spark.createDataFrame([(9, None)], "q BIGINT, embedding ARRAY<DOUBLE>"))
@@ -155,5 +222,5 @@ def test_make_nearest_with_copies():
     for k in (1, 3, 60):
         qi, bi, d = search.make_nearest(k, "euclidean")(q, b)
         for i in range(len(q)):
-            exact = np.sqrt(((q[i] - b) ** 2).sum(1)).round(9)
+            exact = np.array([math.sqrt(added((q[i] - x) ** 2)) for x in b])
             assert list(bi[qi == i]) == list(np.lexsort((np.arange(200), exact))[:k])
