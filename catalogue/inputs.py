@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet").select(*columns)
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """``uri, text`` of each document."""
-    rows = spread(table(spark, sf, "documents", "doc_id", "text"))
-    return rows.select("doc_id", _uri().alias("uri"), "text")
+def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """``uri, text`` of each document, and more of its columns."""
+    rows = spread(table(spark, sf, "documents", "doc_id", "text", *more))
+    return rows.select("doc_id", _uri().alias("uri"), "text", *more)
 
 
 def _uri() -> Column:

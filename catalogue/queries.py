@@ -15,7 +15,7 @@ from fluentrail.operators.forecast import forecast
 from fluentrail.operators.models import apply_model
 from fluentrail.plans import analysis, prompts, retrieval
 from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS
-from fluentrail.session import scratch_path, spread
+from fluentrail.session import scratch_path, spread, stored
 from fluentrail.sources import files, tables
 from fluentrail.streaming import daily as daily_stream
 from fluentrail.streaming import ingest
@@ -379,6 +379,18 @@ def similar_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(lists.search_lists(built, asked, 3, ["query_id"], "embedding", fraction=1.0))
 
 
+SHARE = 0.3
+
+
+@query
+def similar_share(spark: SparkSession, sf: str) -> DataFrame:
+    """A share of stored lists searched: those whose centroids, the means of the labels, are nearest."""
+    base, asked = _cases(spark, sf)
+    path = scratch_path(spark, "lists")
+    lists.build_lists(base, ["vec_id"], path=path, centroids=lists.mean_centroids(base, "label"))
+    return _hits(lists.search_lists(lists.open_lists(spark, path), asked, 3, ["query_id"], "embedding", fraction=SHARE))
+
+
 # Documents and retrieval
 
 
@@ -446,6 +458,28 @@ def rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rag_prompts(inputs.questions(spark, sf), passages)
 
 
+@query
+def rag_prompts_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages from a share of stored lists, one list for the passages of each language."""
+    documents = inputs.documents(spark, sf, "lang")
+    passages = stored(ingest.embed_documents(documents), "passages")
+    centroids = lists.mean_centroids(passages.join(documents.select("uri", "lang"), "uri"), "lang", "text_embeddings")
+    built = lists.build_lists(passages, ["uri", "chunk_id"], "text_embeddings", centroids=centroids)
+    return retrieval.rag_prompts(inputs.questions(spark, sf), passages, lists=built, fraction=SHARE)
+
+
+@query
+def recommend_courses_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Three courses for every run out of a share of stored lists, one list for each category of courses."""
+    runs = prompts.therapy_plans(prompts.therapy_prompts(_runs(spark, sf))).select(
+        "uri", prompts.course_query().alias("query_text")
+    )
+    courses = stored(catalog.embed_courses(inputs.courses(spark, sf)), "courses")
+    centroids = lists.mean_centroids(courses, "category", "course_embedding")
+    built = lists.build_lists(courses, ["course_id"], "course_embedding", centroids=centroids)
+    return _hits(retrieval.recommend_courses(courses, runs, ["uri"], "query_text", lists=built, fraction=SHARE))
+
+
 @query
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The documents delivered twice; the second delivery adds nothing."""

@@ -17,12 +17,9 @@ def frame(spark, vectors, name, parts=3):
     return spark.createDataFrame(rows, f"{name} BIGINT, embedding ARRAY<DOUBLE>").repartition(parts)
 
 
-def added(terms):
-    """The terms summed from the first to the last."""
-    total = 0.0
-    for x in terms:
-        total += float(x)
-    return total
+def twelve(distance):
+    """Twelve digits of a distance."""
+    return float(f"{distance:.11e}") + 0.0
 
 
 def brute(base, queries, k, metric):
@@ -31,12 +28,12 @@ def brute(base, queries, k, metric):
         ranked = []
         for bi, b in enumerate(base):
             if metric == "euclidean":
-                d = math.sqrt(added((q - b) ** 2))
+                d = twelve(np.sqrt(((q - b) ** 2).sum()))
             elif metric == "dot":
-                d = -added(q * b)
+                d = twelve(-(q @ b))
             else:
-                lengths = math.sqrt(added(q * q)) * math.sqrt(added(b * b))
-                d = 1 - added(q * b) / lengths if lengths > 0 else np.inf
+                lengths = np.linalg.norm(q) * np.linalg.norm(b)
+                d = round(1 - float(q @ b) / lengths, 12) if lengths > 0 else np.inf
             ranked.append((d, bi))
         for rank, (d, bi) in enumerate(sorted(ranked)[:k], start=1):
             found.append((qi, bi, None if d == np.inf else pytest.approx(d, abs=1e-8), rank))
@@ -222,5 +219,5 @@ def test_make_nearest_with_copies():
     for k in (1, 3, 60):
         qi, bi, d = search.make_nearest(k, "euclidean")(q, b)
         for i in range(len(q)):
-            exact = np.array([math.sqrt(added((q[i] - x) ** 2)) for x in b])
+            exact = np.array([twelve(d) for d in np.sqrt(((q[i] - b) ** 2).sum(1))])
             assert list(bi[qi == i]) == list(np.lexsort((np.arange(200), exact))[:k])
