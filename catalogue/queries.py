@@ -16,7 +16,7 @@ from fluentrail.operators.models import apply_model
 from fluentrail.plans import analysis, prompts, retrieval
 from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS
 from fluentrail.session import scratch_path, spread, stored
-from fluentrail.sources import files, tables
+from fluentrail.sources import files, keyed, tables
 from fluentrail.streaming import daily as daily_stream
 from fluentrail.streaming import ingest
 
@@ -282,14 +282,16 @@ def progress_summary_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def daily_fluency_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed days only: the last days stay open until later runs pass the watermark."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    # a pattern, since a plain path of a stream must be a folder
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
-    daily = daily_stream.daily_fluency_stream(inputs.runs_of(events), USER)
-    out, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "daily-checkpoint")
-    daily_stream.write_days(daily, out, checkpoint).awaitTermination()
-    return _days(spark.read.parquet(out))
+    """Events that arrive in three deliveries, each with runs of all days: late runs and open days count."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    source, out, checkpoint = (scratch_path(spark, name) for name in ("arriving", "daily", "daily-checkpoint"))
+    for delivery in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == delivery).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(events.schema).parquet(source)
+        totals = daily_stream.day_totals_stream(inputs.runs_of(arriving), USER)
+        daily_stream.keep_day_totals(totals, out, checkpoint, USER).awaitTermination()
+    schema = daily_stream.totals_schema(events, USER)
+    return _days(daily_stream.day_means(keyed.read_keyed(spark, out, schema, (*USER, "processed_day")), USER))
 
 
 @query

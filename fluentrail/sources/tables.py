@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fluentrail.schemas import conform
+from fluentrail.sources import versions
 
 # Fixed value: the time zone of the local time stamp.
 LOCAL_ZONE = "Asia/Kolkata"
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A table, or an empty one if nothing has been written there yet."""
+    """A table in its current version, or an empty one if nothing has been written there yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(versions.located(spark, path))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -31,12 +32,16 @@ def create_table(spark: SparkSession, path: str, schema: str) -> None:
 
 
 def append_rows(df: DataFrame, path: str, schema: str) -> None:
-    conform(df, schema).write.mode("append").parquet(path)
+    """Add rows to the current version of a table."""
+    conform(df, schema).write.mode("append").parquet(versions.located(df.sparkSession, path))
 
 
 def replace_table(df: DataFrame, path: str, schema: str) -> None:
-    """Write ``df`` as the whole table. It must not be read from ``path`` itself."""
-    conform(df, schema).write.mode("overwrite").parquet(path)
+    """Make ``df`` the whole table, at once and only when all of it is written.
+
+    It may be worked out from the table itself. What was there before stays on disk as an older version.
+    """
+    versions.publish(conform(df, schema), path)
 
 
 def set_apart(df: DataFrame, path: str, key: str) -> DataFrame:
