@@ -16,7 +16,7 @@ from fluentrail.operators.models import apply_model
 from fluentrail.plans import analysis, prompts, retrieval
 from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS
 from fluentrail.session import scratch_path, spread, stored
-from fluentrail.sources import files, keyed, tables
+from fluentrail.sources import files, keyed, known_files, tables
 from fluentrail.streaming import daily as daily_stream
 from fluentrail.streaming import ingest
 
@@ -512,6 +512,20 @@ def new_files_only(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.new_files(inputs.documents(spark, sf).select("uri"), done)
 
 
+@query
+def known_file_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents are added to the index in two batches, one of them twice; asked for are all documents."""
+    index = scratch_path(spark, "index")
+    name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("uri")
+    labels = inputs.table(spark, sf, "labels", "doc_id", "quality")
+    for good in (1, 0, 1):
+        known_files.add_files(labels.where(F.coalesce("quality", F.lit(0)) == good).select(name), index)
+    known_files.fold_index(spark, index)
+    asked = inputs.table(spark, sf, "documents", "doc_id").select(name)
+    found = known_files.known(asked, index).withColumn("known", F.lit(True))
+    return asked.join(found, "uri", "left").select("uri", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query
 def processed_files(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.processed_files(chunks.chunk_text(inputs.documents(spark, sf)))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from fluentrail.operators.chunks import CHUNK_SIZE, chunk_text, embed
-from fluentrail.operators.incremental import new_files
 from fluentrail.schemas import DOCUMENT_EMBEDDINGS
-from fluentrail.sources.tables import append_rows, one_per_key, read_table, set_apart
+from fluentrail.session import stored
+from fluentrail.sources import known_files
+from fluentrail.sources.tables import append_rows, one_per_key, set_apart
 
 
 def embed_documents(files: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
@@ -19,20 +20,25 @@ def embed_documents(files: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
 def ingest_batch(files: DataFrame, table: str, size: int = CHUNK_SIZE) -> None:
     """Append the chunks of the files that the table does not have yet, each file once.
 
-    A file's chunks leave one task in one file, so the table has all of them or
+    The index ``<table>-files`` says which those are: a batch reads the index folders of its own names, not the
+    table. A file's chunks leave one task in one file, so the table has all of them or
     none, and a batch that is tried again adds only what is missing. Files without
-    name are set apart unchunked; of several texts of one name the last counts.
+    name are set apart unchunked; of several texts of one name the last counts. A file without words has no
+    chunks and is known all the same.
     """
-    done = read_table(files.sparkSession, table, DOCUMENT_EMBEDDINGS)
+    spark, index = files.sparkSession, f"{table.rstrip('/')}-files"
+    known_files.recover(spark, index, table, DOCUMENT_EMBEDDINGS)
     named = set_apart(files.select("uri", "text"), table, "uri")
-    fresh = one_per_key(new_files(named, done), "uri")
+    fresh = stored(one_per_key(known_files.unknown(named, index), "uri"), "fresh-files")
+    known_files.begin(fresh, index)
     append_rows(embed_documents(fresh, size), table, DOCUMENT_EMBEDDINGS)
+    known_files.finish(spark, index)
 
 
 def ingest_stream(files: DataFrame, table: str, checkpoint: str, size: int = CHUNK_SIZE) -> StreamingQuery:
     """Run ``ingest_batch`` on every batch of a stream of ``uri, text``, up to what is there now.
 
-    The table itself tells which files are known, so the stream keeps no state that
+    The index of the table tells which files are known, so the stream keeps no state that
     would grow with the number of files.
     """
     return (
