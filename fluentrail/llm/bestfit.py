@@ -177,8 +177,10 @@ def plan_routes(pieces: dict[int, tuple[int, int]], gaps: dict[int, tuple[int, i
     return routes
 
 
-def _route(routes: Routes, places: dict[int, tuple[int, float, list[float]]], smallest: int, capacity: int) -> Callable:
-    """Rows of a superstep with the class whose range they go to; pieces that open a sequence become placed and a gap.
+def _route(routes: Routes, places: dict[int, tuple[int, float, list[float]]], shelves: dict[int, int], smallest: int, capacity: int) -> Callable:
+    """Rows of a superstep with the class they go to, and the shelf there; pieces that open a sequence become placed and a gap.
+
+    A class of many rows has several shelves. The rows of one shelf meet in one range, however few rows a range has.
 
     ``places`` has for each class of pieces its rows, the first of their places, and ``POINTS`` quantiles: as many
     pieces open a sequence as planned, or up to one in ``POINTS`` fewer where a class has more rows than that.
@@ -189,25 +191,31 @@ def _route(routes: Routes, places: dict[int, tuple[int, float, list[float]]], sm
         at = opened * POINTS // rows
         open_upto[key] = points[at - 1] if at else first
 
+    def shelf(key: int, place: float) -> int:
+        return int(place * shelves.get(key, 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for kind, number, size, key, place, other in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if kind == GAP:
                     if size >= smallest:
-                        out.append((GAP, number, size, routes.target((GAP, key), place), other, None, None))
+                        target = routes.target((GAP, key), place)
+                        out.append((GAP, number, size, target, shelf(target, other), None, None))
                 elif place <= open_upto.get(key, -1.0):
-                    out.append((PLACED, number, size, key, other, number, 0))
+                    out.append((PLACED, number, size, key, shelf(key, other), number, 0))
                     if capacity - size >= smallest:
-                        out.append((GAP, number, capacity - size, routes.target((PIECE, key), other), other, None, None))
+                        target = routes.target((PIECE, key), other)
+                        # what decides the target must not decide the shelf
+                        out.append((GAP, number, capacity - size, target, shelf(target, number * 0.6180339887498949 % 1), None, None))
                 else:
-                    out.append((PIECE, number, size, key, other, None, None))
-            yield _batch(out, ["kind", "id", "size", "class", "place", "sequence", "offset"], ROUTED)
+                    out.append((PIECE, number, size, key, shelf(key, other), None, None))
+            yield _batch(out, ["kind", "id", "size", "class", "shelf", "sequence", "offset"], ROUTED)
 
     return run
 
 
-ROUTED = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+ROUTED = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 SWEPT = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
@@ -268,16 +276,18 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
         if not waiting:
             break
         left = sum(row[2] for row in waiting.values())
-        # after a superstep without effect, sizes are rounded so that every match of classes is one of rows
+        # after a superstep without effect, sizes are rounded so that a match of classes is one of rows, and
+        # all rows of a class meet, so that the next one has an effect
         exact = left == before
         smallest = min(row[4] for row in waiting.values())
         gaps = {row[1]: (row[2], row[4] if exact else row[3] // row[2]) for row in counted if row[0] == GAP and row[5] >= smallest}
         wanted = {k: (row[2], row[5] if exact else -(-row[3] // row[2])) for k, row in waiting.items()}
         routes = plan_routes(wanted, gaps, capacity)
-        route = _route(routes, {k: (row[2], row[6], row[7]) for k, row in waiting.items()}, smallest, capacity)
-        routed = rows.mapInArrow(route, "kind int, id long, size long, class long, place double, sequence long, offset long")
+        shelves = {} if exact else {k: 1 + row[2] // RANGE_ROWS for k, row in waiting.items()}
+        route = _route(routes, {k: (row[2], row[6], row[7]) for k, row in waiting.items()}, shelves, smallest, capacity)
+        routed = rows.mapInArrow(route, "kind int, id long, size long, class long, shelf int, sequence long, offset long")
         ranges = 1 + (left + sum(n for n, _ in gaps.values())) // RANGE_ROWS
-        dealt = routed.repartitionByRange(ranges, F.desc("class"), "place")
+        dealt = routed.repartitionByRange(ranges, F.desc("class"), "shelf")
         in_order = dealt.sortWithinPartitions(F.desc("class"), F.desc(F.col("kind") == GAP), F.desc("size"), "id")
         swept = in_order.select("kind", "id", "size", "sequence", "offset").mapInArrow(_sweep(capacity), "kind int, id long, size long, sequence long, offset long")
         state = stored(swept, f"bestfit-{step}")

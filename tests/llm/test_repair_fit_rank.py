@@ -160,7 +160,7 @@ def plain_best_fit(sizes, capacity):
 
 
 @pytest.mark.parametrize("kind", ["mixed", "hot", "small", "large"])
-@pytest.mark.parametrize("range_rows", [1 << 15, 100])
+@pytest.mark.parametrize("range_rows", [1 << 15, 100, 8])
 def test_supersteps_fit_as_well_as_one_by_one(spark, monkeypatch, kind, range_rows):
     monkeypatch.setattr(bestfit, "RANGE_ROWS", range_rows)
     draw = random.Random(3)
@@ -173,7 +173,7 @@ def test_supersteps_fit_as_well_as_one_by_one(spark, monkeypatch, kind, range_ro
     for parts in by_sequence.values():
         parts.sort()
         assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1]) and sum(n for _, n in parts) <= 1000
-    assert len(by_sequence) <= 1.03 * plain_best_fit(sizes, 1000) + 1
+    assert len(by_sequence) <= (1.03 if range_rows > 8 else 1.1) * plain_best_fit(sizes, 1000) + 1
 
 
 ODD = [(1, "Some words, and more " * 60), (2, ""), (3, None), (4, "ñandú 日本 \U0001d11e <|endoftext|> x"), (5, "a\n\n  b\x00"), (5, "a\n\n  b\x00"), (None, "no id"), (6, " " * 3000 + "x")]
