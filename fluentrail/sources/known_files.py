@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from fluentrail.sources import versions
 from fluentrail.sources.tables import read_table
 
-#: Folders of names, and bits of the filter of each. At ten bits a name, a folder has room for 200,000 names with
-#: four bits set by each; beyond that more names are looked up in vain, and none is lost.
-FOLDERS = 1024
-FILTER_BITS = 1 << 21
+#: Folders of names, and bits of the filter of each. At ten bits a name, a folder has room for 1.6 million names, the
+#: index for 100 million; beyond that more names are looked up in vain, and none is lost.
+FOLDERS = 64
+FILTER_BITS = 1 << 24
 PROBES = 4
 NAMES = "uri STRING, folder INT"
 FILTERS = "word INT, bits BIGINT, folder INT"
@@ -65,15 +65,19 @@ def unknown(files: DataFrame, index: str) -> DataFrame:
 
 
 def add_files(files: DataFrame, index: str) -> None:
-    """Add the names of ``files`` that are not there yet; adding them twice adds nothing.
+    """Add the names of ``files`` that are not there yet; adding them twice adds nothing."""
+    path = f"{index}/adding"
+    unknown(files.select("uri").where(F.col("uri").isNotNull()).distinct(), index).write.mode("overwrite").parquet(path)
+    _add_new(files.sparkSession.read.schema("uri STRING").parquet(path), index)
+
+
+def _add_new(files: DataFrame, index: str) -> None:
+    """Add names that the index does not have.
 
     Filters are written first: ended in between, the filters have a name that the index lacks, which is looked
     up in vain until it is added.
     """
-    fresh = unknown(files.select("uri").where(F.col("uri").isNotNull()).distinct(), index).withColumn("folder", _folder())
-    path = f"{index}/adding"
-    fresh.write.mode("overwrite").parquet(path)
-    fresh = files.sparkSession.read.schema(NAMES).parquet(path)
+    fresh = files.withColumn("folder", _folder())
     bits = _probes(fresh).groupBy("folder", "word").agg(F.bit_or("mask").alias("bits"))
     for rows, name in ((bits.select("word", "bits", "folder"), "filters"), (fresh, "names")):
         # one file a folder and batch
@@ -100,8 +104,8 @@ def begin(files: DataFrame, index: str) -> DataFrame:
 
 
 def finish(spark: SparkSession, index: str) -> None:
-    """Add the names noted last, all of whose rows are stored."""
-    add_files(read_table(spark, f"{index}/pending", "uri STRING"), index)
+    """Add the names noted last, which are new and all of whose rows are stored."""
+    _add_new(read_table(spark, f"{index}/pending", "uri STRING"), index)
     versions.remove(spark, f"{index}/pending")
 
 
@@ -114,5 +118,5 @@ def recover(spark: SparkSession, index: str, table: str, schema: str) -> None:
         noted = spark.read.schema("uri STRING").parquet(f"{index}/pending")
         add_files(noted.join(read_table(spark, table, schema).select("uri").distinct(), "uri", "left_semi"), index)
         versions.remove(spark, f"{index}/pending")
-    elif not versions.exists(spark, f"{index}/names"):
+    elif versions.exists(spark, table) and not versions.exists(spark, f"{index}/names"):
         add_files(read_table(spark, table, schema).select("uri"), index)
