@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from catalogue import inputs
 from fluentrail.functions import scores, text
-from fluentrail.operators import catalog, chunks, disfluency, incremental, lists, metrics, progress, search, words
+from fluentrail.operators import catalog, chunks, disfluency, incremental, kept, lists, metrics, progress, search, words
 from fluentrail.operators.forecast import forecast
 from fluentrail.operators.models import apply_model
-from fluentrail.plans import analysis, prompts, retrieval
+from fluentrail.plans import analysis, prompts, retrieval, transcription
 from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS
 from fluentrail.session import scratch_path, spread, stored
 from fluentrail.sources import files, keyed, known_files, tables
@@ -556,6 +556,68 @@ def transcribe_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def transcription_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as audio files, transcribed by a job of four runs.
+
+    A stand-in for a recogniser gives the text back. It never takes files of toxic documents, and those of poor quality only from
+    the second run on.
+    """
+    path = scratch_path(spark, "transcription")
+    labels = inputs.table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    rows = inputs.table(spark, sf, "documents", "doc_id", "text").join(labels, "doc_id", "left")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").otherwise("good")
+    files_there = rows.select(F.concat(F.lit("audio/"), kind, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("uri"))
+    listed = files_there.withColumn("content_type", text.content_type(F.col("uri")))
+
+    def recogniser(run: int) -> Callable:
+        def make() -> Callable:
+            def recognise(given):
+                if given["uri"].str.startswith("audio/toxic").any():
+                    raise ValueError("audio rejected")
+                if run == 0 and given["uri"].str.startswith("audio/poor").any():
+                    raise ValueError("no answer in time")
+                return {"transcripts": "of " + given["uri"], "ml_transcribe_result": "{}"}
+
+            return recognise
+
+        return make
+
+    for run in range(4):
+        # each run finds all files again, the first one but every other
+        transcription.add_to_queue(listed.where("right(uri, 5) < '5.wav'") if run == 0 else listed, path, PROCESSED)
+        transcription.run_queue(spark, path, recogniser(run), PROCESSED)
+    stored_answers = transcription.read_transcripts(spark, path).groupBy("uri").agg(F.count("*").alias("stored"), F.max("transcripts").alias("transcripts"))
+    queue = transcription.read_queue(spark, path).join(stored_answers, "uri", "left")
+    return long(queue.select("uri", "content_type", "state", "tries", "reason", F.coalesce("stored", F.lit(0)).alias("stored"), "transcripts"), "tries", "stored")
+
+
+@query
+def answers_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns asked in two runs of a stand-in for a model: the second finds what the first kept, and asks no more of it.
+
+    The first run asks the turns of users; the second all, and its model fails at any of a user's.
+    """
+    path = scratch_path(spark, "answers")
+    turns = inputs.table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+
+    def make_model(run: str) -> Callable:
+        def make() -> Callable:
+            def model(rows):
+                if run == "second" and (rows["role"] == "user").any():
+                    raise ValueError("asked again")
+                return {"characters": rows["text"].str.len()}
+
+            return model
+
+        return make
+
+    for run, part in (("first", turns.where("role = 'user'")), ("second", turns)):
+        answered = kept.apply_kept(part, make_model(run), "characters BIGINT", ["role", "text"], path, "length", run)
+    held = spark.read.parquet(path).count()
+    return answered.select("conv_id", "turn", "characters", "made_in", "status", F.lit(held).cast("bigint").alias("kept"))
+
+
 @query
 def practice_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by language as categories: three known ones, the fourth unknown."""

@@ -52,18 +52,25 @@ def _latest(rows: DataFrame, schema: str, key: tuple[str, ...]) -> DataFrame:
     return held.select(*key, "_held.*", BATCH).select(*names, BATCH)
 
 
-def last_batch(spark: SparkSession, path: str, schema: str) -> int:
-    """The highest number so far, -1 before the first batch."""
-    return _rows(spark, path, schema).agg(F.coalesce(F.max(BATCH), F.lit(-1))).first()[0]
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that are not folded, and of the last one."""
+    names = versions.names(spark, f"{path.rstrip('/')}/{LOG}")
+    return sorted(int(name.removeprefix(f"{BATCH}=")) for name in names if name.startswith(f"{BATCH}="))
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    """The highest number so far, -1 before the first batch. A batch without rows counts."""
+    return max(batches(spark, path), default=-1)
 
 
 def fold(spark: SparkSession, path: str, schema: str, key: tuple[str, ...]) -> None:
     """Make the rows that hold the new base, then drop the batches they come from.
 
     No batch may be written meanwhile. Ended half way, the base has the batches and they are there too, which
-    gives the same rows.
+    gives the same rows. The last batch stays, so that the next one is numbered after it.
     """
     path = path.rstrip("/")
     versions.publish(_latest(_rows(spark, path, schema), schema, key), f"{path}/{BASE}")
-    versions.remove(spark, f"{path}/{LOG}")
+    for batch in batches(spark, path)[:-1]:
+        versions.remove(spark, f"{path}/{LOG}/{BATCH}={batch}")
     versions.discard(spark, f"{path}/{BASE}", keep=0)

@@ -52,18 +52,21 @@ def test_a_reader_sees_one_version(spark, tmp_path):
 
 def test_the_last_batch_of_a_key_holds(spark, tmp_path):
     path = str(tmp_path / "t")
-    assert keyed.read_keyed(spark, path, PAIR, ("k",)).count() == 0 and keyed.last_batch(spark, path, PAIR) == -1
+    assert keyed.read_keyed(spark, path, PAIR, ("k",)).count() == 0 and keyed.last_batch(spark, path) == -1
     keyed.put_rows(spark.createDataFrame([(1, "a"), (2, "a"), (None, "a")], PAIR), path, PAIR, 0)
     for _ in range(2):  # a batch tried again
         keyed.put_rows(spark.createDataFrame([(2, "b"), (3, None)], PAIR), path, PAIR, 1)
     wanted = [(1, "a"), (2, "b")]
     rows = {tuple(r) for r in keyed.read_keyed(spark, path, PAIR, ("k",)).collect()}
-    assert rows == {*wanted, (None, "a"), (3, None)} and keyed.last_batch(spark, path, PAIR) == 1
+    assert rows == {*wanted, (None, "a"), (3, None)} and keyed.last_batch(spark, path) == 1
     keyed.fold(spark, path, PAIR, ("k",))
     assert {tuple(r) for r in keyed.read_keyed(spark, path, PAIR, ("k",)).collect()} == rows
-    keyed.put_rows(spark.createDataFrame([(3, "c")], PAIR), path, PAIR, keyed.last_batch(spark, path, PAIR) + 1)
+    keyed.put_rows(spark.createDataFrame([(3, "c")], PAIR), path, PAIR, keyed.last_batch(spark, path) + 1)
     keyed.fold(spark, path, PAIR, ("k",))
     assert {tuple(r) for r in keyed.read_keyed(spark, path, PAIR, ("k",)).collect()} == rows - {(3, None)} | {(3, "c")}
+    keyed.put_rows(spark.createDataFrame([], PAIR), path, PAIR, 3)
+    keyed.fold(spark, path, PAIR, ("k",))
+    assert keyed.last_batch(spark, path) == 3 and keyed.batches(spark, path) == [3]
 
 
 def test_day_totals_in_any_order_of_arrival(spark, tmp_path):
