@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogue import inputs
 from fluentrail.functions import scores, text
-from fluentrail.operators import catalog, chunks, disfluency, incremental, kept, lists, metrics, progress, search, words
+from fluentrail.operators import catalog, chunks, disfluency, incremental, kept, lists, metrics, progress, rollup, search, words
 from fluentrail.operators.forecast import forecast
 from fluentrail.operators.models import apply_model
 from fluentrail.plans import analysis, prompts, retrieval, transcription
@@ -261,13 +261,37 @@ def _forecast_shown(rows: DataFrame) -> DataFrame:
     return shown.withColumn("forecast_timestamp", F.date_format("forecast_timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
+SUMMARY = ("initial_fluency", "latest_fluency", "improvement", "projected_fluency")
+
+
 def _summary(spark: SparkSession, sf: str, series: tuple[str, ...]) -> DataFrame:
-    runs = inputs.runs(spark, sf)
-    shown = progress.daily_fluency_rounded(progress.history(runs, series), series)
-    ahead = forecast(progress.daily_fluency(runs, series), series)
-    return averaged(
-        progress.summary(shown, ahead, series), "initial_fluency", "latest_fluency", "improvement", "projected_fluency"
-    )
+    return averaged(rollup.summary(rollup.rollup(inputs.runs(spark, sf), series), series), *SUMMARY)
+
+
+def _stored_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up of runs that came in four batches; the second came twice, and the first three were folded."""
+    path, runs = scratch_path(spark, "rollup"), inputs.runs(spark, sf)
+    schema = rollup.rollup_schema(runs, USER)
+    for batch in (0, 1, 1, 2, 3):
+        if batch == 3:
+            rollup.fold(spark, path, schema, USER)
+        rollup.add_runs(runs.where(F.pmod(F.xxhash64("run_id"), F.lit(4)) == batch), path, batch, USER)
+    return rollup.read_rollup(spark, path, schema, USER)
+
+
+@query
+def rollup_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return averaged(rollup.summary(_stored_rollup(spark, sf), USER), *SUMMARY)
+
+
+@query
+def rollup_kpis(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rollup.kpis(_stored_rollup(spark, sf), USER), "avg_fillers")
+
+
+@query
+def rollup_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecast_shown(forecast(rollup.daily_means(_stored_rollup(spark, sf), USER), USER))
 
 
 @query
