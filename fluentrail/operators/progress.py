@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluentrail.functions import scores
 from fluentrail.schemas import OLDER_ANALYSIS
@@ -13,10 +14,15 @@ from fluentrail.session import once
 def with_metric_fields(runs: DataFrame, fields: dict[str, str], metrics_col: str = "metrics") -> DataFrame:
     """Fields of the metrics JSON as double columns, 0 where missing, null or no number.
 
-    The text is parsed once for all fields, and not again by a filter put on them.
+    Metrics are JSON text, which is parsed once for all fields and not again by a filter put on them, or a VARIANT, which
+    was parsed when it was stored: then only the fields asked for are read out of it.
     """
     raw = [f"_raw_{name}" for name in fields]
-    parsed = runs.select("*", F.json_tuple(metrics_col, *fields.values()).alias(*raw))
+    if runs.schema[metrics_col].dataType == T.VariantType():
+        # as text, so that numbers and numbers written as text come out as they do of JSON text
+        parsed = runs.withColumns({r: F.try_variant_get(F.col(metrics_col), f"$.{field}", "string") for r, field in zip(raw, fields.values(), strict=True)})
+    else:
+        parsed = runs.select("*", F.json_tuple(metrics_col, *fields.values()).alias(*raw))
     numbers = {name: scores.number_or_zero(F.col(f"_raw_{name}")) for name in fields}
     return parsed.withColumns(numbers).drop(*raw)
 

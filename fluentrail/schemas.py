@@ -27,6 +27,9 @@ ANALYSIS_RESULTS = (
     "run_id STRING, transcript STRING, metrics STRING, therapy_plan STRING, words_df STRING, "
     "processed_at TIMESTAMP, transcript_embedding ARRAY<DOUBLE>"
 )
+HISTORY = (
+    "run_id STRING, processed_at TIMESTAMP, metrics VARIANT"
+)
 COURSES = (
     "course_id STRING, title STRING, description STRING, category STRING, url STRING"
 )

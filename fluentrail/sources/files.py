@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluentrail.functions.text import content_type
 from fluentrail.schemas import COURSES
+from fluentrail.sources.versions import located
 
 # File names taken as audio and as documents.
 AUDIO = "*.{mp3,wav}"
@@ -54,5 +55,5 @@ def read_practice_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, series: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of the analysis results that progress reports need; no others are read."""
-    return spark.read.parquet(path).select("run_id", "metrics", "processed_at", *series)
+    """The columns that progress reports need, of the analysis results or a history table; no others are read."""
+    return spark.read.parquet(located(spark, path)).select("run_id", "metrics", "processed_at", *series)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fluentrail.schemas import conform
+from fluentrail.schemas import HISTORY, conform
 from fluentrail.sources import versions
 
 # Fixed value: the time zone of the local time stamp.
@@ -77,6 +77,21 @@ def append_new(df: DataFrame, path: str, schema: str, key: str) -> None:
     append_rows(not_stored(df, path, schema, key), path, schema)
 
 
+def history_rows(results: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
+    """What reports read of the results: run, time and series, and the metrics as VARIANT; text that is no JSON gives none."""
+    return results.select("run_id", "processed_at", F.try_parse_json("metrics").alias("metrics"), *series)
+
+
+def append_history(results: DataFrame, path: str) -> None:
+    """Add the runs of the results table that the history table at ``path`` lacks; runs without id are not in it.
+
+    The metrics are parsed here, once; reports read their fields and parse no text.
+    """
+    have = read_table(results.sparkSession, path, HISTORY).select("run_id").distinct()
+    named = results.where(F.col("run_id").isNotNull())
+    append_rows(history_rows(named.join(have, "run_id", "left_anti")), path, HISTORY)
+
+
 def run_id(uri_col: str = "uri"):
     """A run's key: the same for the same file whenever it is worked out."""
     return F.sha2(F.col(uri_col).cast("string"), 256)
