@@ -14,7 +14,7 @@ from fluentrail.operators import catalog, chunks, disfluency, incremental, kept,
 from fluentrail.operators.forecast import forecast
 from fluentrail.operators.models import apply_model
 from fluentrail.plans import analysis, prompts, retrieval, transcription
-from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS
+from fluentrail.schemas import ANALYSIS_RESULTS, DOCUMENT_EMBEDDINGS, METRICS
 from fluentrail.session import scratch_path, spread, stored
 from fluentrail.sources import files, keyed, known_files, tables
 from fluentrail.streaming import daily as daily_stream
@@ -142,17 +142,24 @@ def therapy_prompts(spark: SparkSession, sf: str) -> DataFrame:
 PROCESSED = datetime(2024, 1, 31, 12, tzinfo=UTC)
 
 
+def _vector_text(column: str) -> Column:
+    """All components in six decimals."""
+    return F.array_join(F.transform(column, lambda x: (six(x)).cast("decimal(9,6)").cast("string")), ",")
+
+
 def _shown(results: DataFrame) -> DataFrame:
-    return results.select(
+    """All of the results; metrics one by one."""
+    parsed = results.withColumn("_metrics", F.from_json("metrics", METRICS))
+    shown = parsed.select(
         "run_id",
         "transcript",
         "therapy_plan",
-        six(F.get_json_object("metrics", "$.severity_score").cast("double")).alias("severity_score"),
-        F.get_json_object("metrics", "$.severity_level").alias("severity_level"),
-        F.length("words_df").cast("bigint").alias("words_length"),
+        "_metrics.*",
+        F.col("words_df").alias("words_json"),
         F.unix_timestamp("processed_at").alias("processed_at"),
-        six(F.aggregate("transcript_embedding", F.lit(0.0), lambda total, x: total + x)).alias("embedding_sum"),
+        _vector_text("transcript_embedding").alias("embedding"),
     )
+    return rounded(shown, *FRACTIONS)
 
 
 @query
@@ -482,13 +489,13 @@ def recommend_courses(spark: SparkSession, sf: str) -> DataFrame:
     runs = prompts.therapy_plans(prompts.therapy_prompts(_runs(spark, sf))).select(
         "uri", prompts.course_query().alias("query_text")
     )
-    courses = catalog.embed_courses(inputs.courses(spark, sf))
+    courses = stored(catalog.embed_courses(inputs.courses(spark, sf)), "courses")
     return _hits(retrieval.recommend_courses(courses, runs, ["uri"], "query_text"))
 
 
 @query
 def rag_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    passages = ingest.embed_documents(inputs.documents(spark, sf))
+    passages = stored(ingest.embed_documents(inputs.documents(spark, sf)), "passages")
     return retrieval.rag_prompts(inputs.questions(spark, sf), passages)
 
 
@@ -528,7 +535,7 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
         "uri",
         "chunk_id",
         "content",
-        six(F.aggregate("text_embeddings", F.lit(0.0), lambda total, x: total + x)).alias("embedding_sum"),
+        _vector_text("text_embeddings").alias("embedding"),
     )
 
 
@@ -672,6 +679,18 @@ def practice_rotation(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumnRenamed("next_pos", "next_turn")
 
 
+@query
+def practice_texts_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Practice texts in JSON lines, one per category, read back and shown in turn."""
+    path = scratch_path(spark, "texts")
+    turns = inputs.table(spark, sf, "conversations", "conv_id", "turn", "text")
+    # a line holds the texts of its category
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    listed.select(F.col("conv_id").cast("string").alias("category"), F.col("turns.text").alias("texts")).write.json(path)
+    shown = catalog.next_texts(files.read_practice_texts(spark, path, json_lines=True))
+    return long(shown, "pos", "next_pos")
+
+
 @query
 def courses_from_json(spark: SparkSession, sf: str) -> DataFrame:
     """Courses written as JSON lines and read back; rows without an id are set apart."""

@@ -43,19 +43,25 @@ def token_limit(category: Column) -> Column:
 def next_texts(texts: DataFrame, group: str = "category", pos: str = "pos", text: str = "text") -> DataFrame:
     """Each text with the one shown after it: the next of its group, and after the last the first.
 
-    ``pos`` counts from 0 without gaps within a group. The followers come by a join
-    on group and position, which spreads a large group over all tasks; the last
-    texts, one per group, then take the first ones.
+    ``pos`` counts from 0 without gaps within a group. Every text is sent to its own place and to the one before,
+    where it is the follower; texts and followers meet by group and place, which spreads a large group over all
+    tasks. Two rows a group stay alone, the last text and the first follower, and these two meet in the end.
     """
-    following = texts.select(
-        F.col(group).alias("_group"), (F.col(pos) - 1).alias("_pos"), F.col(pos).alias("next_pos"), F.col(text).alias("next_text")
+    own = F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"))
+    none = F.lit(None).cast(own_type(texts, pos, text))
+    sent = F.array(
+        F.struct(F.col(pos).alias("_place"), own.alias("_own"), none.alias("_next")),
+        F.struct((F.col(pos) - 1).alias("_place"), none.alias("_own"), own.alias("_next")),
     )
-    same = (F.col(group) == F.col("_group")) & (F.col(pos) == F.col("_pos"))
-    linked = texts.join(following, same, "left").drop("_group", "_pos")
-    inner = linked.where(F.col("next_pos").isNotNull())
-    last = linked.where(F.col("next_pos").isNull()).drop("next_pos", "next_text")
-    first = texts.where(F.col(pos) == 0).select(
-        F.col(group).alias("_group"), F.col(pos).alias("next_pos"), F.col(text).alias("next_text")
+    places = texts.select(group, F.inline(sent))
+    met = places.groupBy(group, "_place").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_own", "_next")])
+    inner = met.where(F.col("_own").isNotNull() & F.col("_next").isNotNull()).select(group, "_own", "_next")
+    alone = met.where(F.col("_own").isNull() | F.col("_next").isNull())
+    around = alone.groupBy(group).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_own", "_next")])
+    return inner.unionByName(around).select(
+        group, F.col("_own.pos").alias(pos), F.col("_own.text").alias(text), F.col("_next.pos").alias("next_pos"), F.col("_next.text").alias("next_text")
     )
-    wrapped = last.join(first, F.col(group) == F.col("_group"), "inner").drop("_group")
-    return inner.unionByName(wrapped)
+
+
+def own_type(texts: DataFrame, pos: str, text: str) -> str:
+    return f"struct<pos: {texts.schema[pos].dataType.simpleString()}, text: {texts.schema[text].dataType.simpleString()}>"

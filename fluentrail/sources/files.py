@@ -47,8 +47,14 @@ def read_courses(spark: SparkSession, path: str, json_lines: bool = False) -> Da
     return spark.read.schema(COURSES).option("multiLine", not json_lines).json(path)
 
 
-def read_practice_texts(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file ``{category: [text, ...]}`` as ``category, pos, text``."""
+def read_practice_texts(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """A JSON file ``{category: [text, ...]}`` as ``category, pos, text``.
+
+    Such a file is read in one piece. JSON lines ``{"category": ..., "texts": [...]}`` split.
+    """
+    if json_lines:
+        lines = spark.read.schema("category STRING, texts ARRAY<STRING>").json(path)
+        return lines.select("category", F.posexplode("texts").alias("pos", "text"))
     whole = spark.read.text(path, wholetext=True)
     by_category = whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("category", "texts"))
     return by_category.select("category", F.posexplode("texts").alias("pos", "text"))
