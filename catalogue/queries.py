@@ -167,6 +167,16 @@ def analysis_results(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(analysis.analysis_results(inputs.stored_transcriptions(spark, sf), PROCESSED))
 
 
+@query
+def analysis_with_courses(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole results with the three courses for each run."""
+    courses = stored(catalog.embed_courses(inputs.courses(spark, sf)), "courses")
+    results = analysis.results_with_courses(inputs.stored_transcriptions(spark, sf), courses, PROCESSED)
+    titles = F.transform("top_courses", lambda c: F.concat(c["course_id"], F.lit(" "), c["title"]))
+    shown = _shown(results.drop("top_courses")).drop("words_json", "embedding")
+    return shown.join(results.select("run_id", F.array_join(titles, ", ").alias("top_courses")), "run_id")
+
+
 @query
 def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Results stored twice; the second time adds nothing."""
@@ -521,6 +531,23 @@ def recommend_courses_share(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(retrieval.recommend_courses(courses, runs, ["uri"], "query_text", lists=built, fraction=SHARE))
 
 
+@query
+def question_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a stand-in for a model, which refuses some questions, says nothing to some, and keeps to the limit."""
+
+    def make_model() -> Callable:
+        def model(rows):
+            if (rows["prompt"].str.len() % 3 == 0).any():
+                raise ValueError("refused")
+            said = rows["prompt"].str.slice(0, 5).where(rows["prompt"].str.len() % 3 == 1, " ")
+            return {"answer": [text[:limit] for text, limit in zip(said, rows["max_output_tokens"], strict=True)]}
+
+        return model
+
+    asked = inputs.questions(spark, sf).withColumnRenamed("question", "prompt")
+    return retrieval.answers(asked, make_model, max_tokens=4).drop("prompt")
+
+
 @query
 def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The documents delivered twice; the second delivery adds nothing."""

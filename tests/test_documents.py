@@ -98,6 +98,29 @@ def test_answers_fall_back(spark):
     assert got == {1: "P", 2: prompts.NO_ANSWER}
 
 
+def test_failed_answers_are_told_from_none(spark):
+    asked = spark.createDataFrame([(1, "good"), (2, None), (3, "bad"), (4, "blank"), (5, "long")], "question_id INT, prompt STRING")
+
+    def make_model():
+        def model(rows):
+            if (rows["prompt"] == "bad").any():
+                raise ValueError("refused")
+            return {"answer": [" " if p == "blank" else (p * 9)[:n] for p, n in zip(rows["prompt"], rows["max_output_tokens"], strict=True)]}
+
+        return model
+
+    got = {r.question_id: (r.answer, r.outcome, r.status) for r in retrieval.answers(asked, make_model, max_tokens=8).collect()}
+    assert got == {
+        1: ("goodgood", "answered", None),
+        2: (prompts.NO_ANSWER, "no answer", None),
+        3: (retrieval.FAILED_ANSWER, "error", "refused"),
+        4: (prompts.NO_ANSWER, "no answer", None),
+        5: ("longlong", "answered", None),
+    }
+    with pytest.raises(ValueError):
+        retrieval.answers(asked, make_model, max_tokens=0)
+
+
 def test_similar_cases_and_courses(spark):
     results = spark.createDataFrame([("r1", "slow speech", "{}", "plan"), ("r2", "fast talk", "{}", "other")],
                                     "run_id STRING, transcript STRING, metrics STRING, therapy_plan STRING")
