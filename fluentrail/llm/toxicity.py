@@ -281,8 +281,13 @@ def held_out(key: Column) -> Column:
 
 
 def learn_labels(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Lexicon:
-    """Lexicon of the documents whose label may be learned from; contradicting labels count as 1."""
+    """Lexicon of the documents whose label may be learned from; contradicting labels count as 1.
+
+    At most ``TRAIN_ROWS`` labelled keys are learned from, each with one text: of several, the smallest.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     # a bounded sample of keys first: the texts are read once and only those of the sample are moved
     sample = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_ROWS)
-    return _learn(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # one text a key, so that the bound holds for rows too
+    return _learn(labelled.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text"))
