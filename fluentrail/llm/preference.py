@@ -65,3 +65,29 @@ def format_preferences(
         start.cast("long").alias("mask_start"),
         (start + F.when(learned, F.length("said.text")).otherwise(0)).cast("long").alias("mask_end"),
     )
+
+
+def preference_records(rows: DataFrame, pair: str = "pair_id", turn: str = "turn") -> DataFrame:
+    """One record per pair out of the rows of ``format_preferences``: the prompt, and both completions with their masks.
+
+    Columns: ``pair, prompt, chosen, chosen_mask, rejected, rejected_mask``. The texts are the rendered turns in order, empty
+    if a part has none; a mask lists the learned stretches of its text as ``start, end`` in signs. A record is as long as its conversation.
+    """
+    part = F.struct(F.col(turn).alias("turn"), "rendered", "mask_start", "mask_end")
+    parts = rows.groupBy(pair).agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == name, part))).alias(name) for name in ("prompt", "chosen", "rejected")])
+
+    def text(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda t: t["rendered"]), "").alias(name)
+
+    def mask(name: str) -> Column:
+        none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+        first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+
+        def add(state: Column, t: Column) -> Column:
+            span = F.struct((state["at"] + t["mask_start"]).alias("start"), (state["at"] + t["mask_end"]).alias("end"))
+            spans = F.when(t["mask_end"] > t["mask_start"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
+            return F.struct((state["at"] + F.length(t["rendered"])).alias("at"), spans.alias("spans"))
+
+        return F.aggregate(name, first, add, lambda state: state["spans"]).alias(f"{name}_mask")
+
+    return parts.select(pair, text("prompt"), text("chosen"), mask("chosen"), text("rejected"), mask("rejected"))

@@ -131,25 +131,31 @@ FROM placed WHERE position % 50 = 7 OR archive % 13 = 3 AND position >= 900
 
 
 def op7_preference(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation against itself with its last answer taken from the next conversation."""
-    turns = _read(spark, folder, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    """Every conversation against itself with its last answer taken from the next conversation.
+
+    One without an answer is the same on both sides. Of several rows at one turn the smallest role and text counts.
+    """
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _read(spark, folder, "conversations").filter("conv_id is not null and turn is not null")
+    turns = rows.groupBy(F.col("conv_id").alias("pair_id"), "turn").agg(F.min(said).alias("said")).select("pair_id", "turn", "said.*")
     answers = turns.filter("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("pair_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"))
-    chosen = turns.join(answers.select("pair_id"), "pair_id", "left_semi")
-    before = turns.join(answers, "pair_id").filter("turn < last_turn").select(turns.columns)
+    before = turns.join(answers, "pair_id", "left").filter("last_turn is null or turn < last_turn").select(turns.columns)
     other = answers.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last_text").alias("text"))
     swapped = answers.join(other, "pair_id", "left").select("pair_id", F.col("last_turn").alias("turn"), F.lit("assistant").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return format_preferences(chosen, before.unionByName(swapped))
+    return format_preferences(turns, before.unionByName(swapped))
 
 
 OP7_SQL = """
-WITH turns AS (
-    SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+WITH numbered AS (
+    SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(role, ''), coalesce(text, '')) AS n FROM conversations
     WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+turns AS (SELECT * EXCLUDE (n) FROM numbered WHERE n = 1),
 answers AS (
     SELECT pair_id, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM turns WHERE role = 'assistant' GROUP BY pair_id),
-chosen AS (SELECT t.* FROM turns t JOIN answers USING (pair_id)),
+chosen AS (SELECT * FROM turns),
 rejected AS (
-    SELECT t.* FROM turns t JOIN answers a USING (pair_id) WHERE t.turn < a.last_turn
+    SELECT t.* FROM turns t LEFT JOIN answers a USING (pair_id) WHERE a.last_turn IS NULL OR t.turn < a.last_turn
     UNION ALL
     SELECT a.pair_id, a.last_turn, 'assistant', coalesce(b.last_text, '') FROM answers a LEFT JOIN answers b ON b.pair_id = a.pair_id + 1),
 both_sides AS (

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluentrail.llm import bestfit, queries, ranked, repair
+from fluentrail.llm import bestfit, preference, queries, ranked, repair, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -282,3 +282,38 @@ def test_filter_keeps_every_term(spark):
     bits = ranked._filter_bits(terms)
     docs = spark.createDataFrame([(1, " ".join(f"ü{i}" for i in range(500)))], "doc_id int, text string")
     assert len(ranked._scan(docs, "doc_id", bits).first().terms) == 500
+
+
+# Preferences and labels
+
+
+def test_preference_records(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    one = [(1, 0, "user", "Hi"), (1, 1, "assistant", "Yes."), (1, 2, "user", "More"), (1, 3, "assistant", ""), (2, 0, "user", "Same")]
+    two = [(1, 0, "user", "Hi"), (1, 1, "assistant", "No way."), (2, 0, "user", "Same")]
+    rows = preference.format_preferences(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema))
+    got = {r.pair_id: r for r in preference.preference_records(rows).collect()}
+    assert got[1].prompt == "<|user|>\nHi\n"
+    assert got[1].chosen == "<|assistant|>\nYes.\n<|user|>\nMore\n<|assistant|>\n\n" and got[1].rejected == "<|assistant|>\nNo way.\n"
+    assert [got[1].chosen[s.start : s.end] for s in got[1].chosen_mask] == ["Yes."]
+    assert [got[1].rejected[s.start : s.end] for s in got[1].rejected_mask] == ["No way."]
+    assert (got[2].prompt, got[2].chosen, got[2].rejected, got[2].chosen_mask) == ("<|user|>\nSame\n", "", "", [])
+
+
+def test_preferences_of_repeated_rows_and_without_answers_equal_sql(spark, turns, tmp_path):
+    rows = [r for r in turns if r[0] != 51] * 2 + [(60, 0, "user", "alone"), (60, None, "user", "x"), (61, 1, "assistant", "b"), (61, 1, "assistant", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    answer = connection.execute(queries.OP7_SQL)
+    names = [d[0] for d in answer.description]
+    got = sorted(map(tuple, queries.op7_preference(spark, str(tmp_path)).select(*names).collect()), key=repr)
+    assert got == sorted(answer.fetchall(), key=repr) and any(r[0] == 60 for r in got)
+
+
+def test_rows_learned_from_are_bounded(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(toxicity, "_learn", lambda train: learned.append(train.collect()))
+    docs = spark.range(4000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    toxicity.learn_labels(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"))
+    assert sorted(r.text for r in learned[0]) == [f"text {i:05d}" for i in range(4) if zlib.crc32(str(i).encode()) % 4 != 2]
