@@ -37,6 +37,7 @@ def best_of_blocks(
     search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
     k: int,
     block_rows: int,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """The ``k`` best hits per query: ``query_id, rank, vec_id, score``, highest score first, then smaller id.
 
@@ -45,7 +46,7 @@ def best_of_blocks(
     size; their numbers grow with the tables. A row of the base is sent once per block of queries.
     """
     rows, asked = base.count(), queries.count()
-    blocks, parts = max(1, math.ceil(rows / block_rows)), max(1, math.ceil(asked / QUERY_ROWS))
+    blocks, parts = max(1, math.ceil(rows / block_rows)), max(1, math.ceil(asked / query_rows))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(parts)).cast("int")
     left = base.select(own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", "vector")

@@ -8,13 +8,14 @@ from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fluentrail.llm.blocks import Best, best_of_blocks, usable
 
-#: Projected dimensions, rows of a tree and of a leaf.
-DIMENSIONS, TREE_ROWS, LEAF = 8, 2048, 64
+#: Projected dimensions, bytes of the vectors of a tree, rows of a leaf, and queries that a task answers from a tree.
+DIMENSIONS, TREE_BYTES, LEAF, QUERY_ROWS = 24, 1 << 25, 1024, 1024
 #: Chance with which a neighbour nearer than the worst one held lies within the searched projected radius.
-SURE = 0.97
+SURE = 0.9
 SEED = 5
 
 
@@ -39,11 +40,12 @@ def chi_square_quantile(p: float, dimensions: int) -> float:
 
 @dataclass
 class Box:
-    """A region of projected rows: its sides, and either rows or two halves."""
+    """A region of projected rows: its sides, where its rows begin and end, and two halves unless it is a leaf."""
 
     low: np.ndarray
     high: np.ndarray
-    rows: np.ndarray | None
+    begin: int
+    end: int
     halves: tuple[Box, Box] | None
 
 
@@ -57,30 +59,42 @@ class ProjectionTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, dimensions: int = DIMENSIONS, sure: float = SURE):
         if dimensions % 2:
             raise ValueError("an even number of dimensions is needed")
-        self.ids, self.vectors = ids, vectors
         norms = np.einsum("ij,ij->i", vectors, vectors)
         self.length2 = float(norms.max(initial=0.0))
         lifted = np.concatenate([vectors, np.sqrt(np.maximum(self.length2 - norms, 0))[:, None]], 1)
         self.weights = np.random.default_rng(SEED).standard_normal((lifted.shape[1], dimensions))
-        self.projected = lifted @ self.weights
+        projected = lifted @ self.weights
         self.factor = chi_square_quantile(sure, dimensions)
-        self.root = self._box(np.arange(len(ids)))
+        order: list[np.ndarray] = []
+        self.root = self._box(projected, np.arange(len(ids)), 0, order)
+        # the rows of a leaf lie side by side
+        rows = np.concatenate(order)
+        self.rows, self.ids, self.vectors, self.projected = rows, ids[rows], vectors[rows], projected[rows]
+        self.spread = np.einsum("ij,ij->i", self.projected, self.projected)
         self.verified = 0
 
-    def _box(self, rows: np.ndarray) -> Box:
-        points = self.projected[rows]
+    def _box(self, projected: np.ndarray, rows: np.ndarray, begin: int, order: list[np.ndarray]) -> Box:
+        points = projected[rows]
         low, high = points.min(0), points.max(0)
+        halves = None
         if len(rows) <= LEAF or (high == low).all():
-            return Box(low, high, rows, None)
-        order = rows[np.argsort(points[:, int(np.argmax(high - low))], kind="stable")]
-        half = len(order) // 2
-        return Box(low, high, None, (self._box(order[:half]), self._box(order[half:])))
+            order.append(rows)
+        else:
+            sides = rows[np.argsort(points[:, int(np.argmax(high - low))], kind="stable")]
+            half = len(sides) // 2
+            halves = (self._box(projected, sides[:half], begin, order), self._box(projected, sides[half:], begin + half, order))
+        return Box(low, high, begin, begin + len(rows), halves)
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> Best:
-        """Leaves in order of their projected distance, until what is left is improbable to be among the best."""
+        """The numbers of the best rows, looked for by projected distance until what is left is improbable to be among them.
+
+        Leaves come in order of their distance. Of a leaf only the rows are verified that lie within the radius of
+        the stopping test; the radius only shrinks, so the others would not come up before the test holds.
+        """
         best = Best(k)
         base = float(query @ query) + self.length2
         point = query @ self.weights[:-1]
+        span = float(point @ point)
 
         def away(box: Box) -> float:
             gap = np.maximum(np.maximum(box.low - point, point - box.high), 0)
@@ -90,13 +104,19 @@ class ProjectionTree:
         while agenda:
             near, _, box = heappop(agenda)
             # projected distance² / distance² is chi-square: farther out lies a better row with chance 1 - SURE at most
-            if best.least > -math.inf and near > self.factor * max(base - 2 * best.least, 0):
+            radius = self.factor * max(base - 2 * best.least, 0)
+            if near > radius:
                 break
             if box.halves is None:
-                self.verified += len(box.rows)
-                ids = self.ids[box.rows]
-                others = ids != own
-                best.add(ids[others], (self.vectors[box.rows] @ query)[others])
+                own_rows = slice(box.begin, box.end)
+                wanted = self.ids[own_rows] != own
+                if radius < math.inf:
+                    # the squared projected distance, for which rounding leaves some room
+                    gaps = self.spread[own_rows] - 2 * (self.projected[own_rows] @ point) + span
+                    wanted &= gaps <= radius * (1 + 1e-9) + 1e-12 * span
+                rows = box.begin + np.flatnonzero(wanted)
+                self.verified += len(rows)
+                best.add(self.rows[rows], self.vectors[rows] @ query)
             else:
                 for half in box.halves:
                     turn += 1
@@ -104,28 +124,32 @@ class ProjectionTree:
         return best
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sure: float = SURE, tree_rows: int = TREE_ROWS) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", sure: float = SURE, tree_rows: int | None = None) -> DataFrame:
     """About the ``k`` rows of largest inner product per query, itself left out: ``query_id, rank, vec_id, score``.
 
     Every row is in a tree and every tree is asked; a true neighbour is missed in its tree with a chance of at
     most ``1 - sure``. Scores are the correctly rounded sums of products of the original components; ties go to
     the smaller id. Null keys, vectors that are null, empty or zero or hold a null or non-finite component take
     no part. Rows that repeat an id are hits each for itself; those with the id of the query are left out.
-    Empty tables give no rows.
+    Empty tables give no rows. A tree has ``tree_rows`` rows, by default as many as ``TREE_BYTES`` hold.
     """
+    rows = usable(base, key, vector)
+    if tree_rows is None:
+        widest = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+        tree_rows = max(1, TREE_BYTES // (8 * widest))
 
     def search(ids, vectors, query_ids, wanted):
         tree = ProjectionTree(ids, vectors, sure=sure)
-        place = {int(row): i for i, row in enumerate(ids.tolist())} if len(set(ids.tolist())) == len(ids) else None
         out_query, out_id, out_score = [], [], []
-        rows = vectors.tolist()
+        listed = vectors.tolist()
         for own, query in zip(query_ids.tolist(), wanted, strict=True):
             best = tree.search(query, k, own)
             values = query.tolist()
-            exact = best.scores if place is None else [math.sumprod(rows[place[i]], values) for i in best.ids.tolist()]
+            # rows come in order of their ids, so ties went to the smaller one
+            exact = [math.sumprod(listed[row], values) for row in best.ids.tolist()]
             out_query.append(np.full(len(best.ids), own))
-            out_id.append(best.ids)
+            out_id.append(ids[best.ids])
             out_score.append(np.asarray(exact, np.float64))
         return np.concatenate(out_query), np.concatenate(out_id), np.concatenate(out_score)
 
-    return best_of_blocks(usable(base, key, vector), usable(queries, key, vector), search, k, tree_rows)
+    return best_of_blocks(rows, usable(queries, key, vector), search, k, tree_rows, QUERY_ROWS)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluentrail.llm import bestfit, preference, queries, ranked, repair, toxicity
+from fluentrail.llm import bestfit, preference, projections, queries, ranked, repair, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -317,3 +317,30 @@ def test_rows_learned_from_are_bounded(spark, monkeypatch):
     docs = spark.range(4000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
     toxicity.learn_labels(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"))
     assert sorted(r.text for r in learned[0]) == [f"text {i:05d}" for i in range(4) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
+# Projections
+
+
+def test_projections_verify_less_than_half():
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(12000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tree = projections.ProjectionTree(np.arange(len(v)), v)
+    found = 0
+    for i in range(0, len(v), 400):
+        scores = v @ v[i]
+        scores[i] = -np.inf
+        found += len({*np.argsort(-scores)[:20].tolist()} & {*tree.search(v[i], 20, i).ids.tolist()})
+    assert found >= 0.9 * 20 * 30 and tree.verified < 0.6 * 30 * len(v)
+
+
+def test_projections_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 6))
+    rows = [(i % 20, [float(x) for x in v[i]]) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in projections.nearest(table, table.filter("vec_id = 0").limit(1), k=57).collect())
+    asked = [i for i in range(0, 60, 20) if any(math.sumprod(v[i].tolist(), v[j].tolist()) == got[0][2] for j in range(60) if j % 20)]
+    wanted = sorted(((math.sumprod(v[asked[0]].tolist(), v[j].tolist()), j % 20) for j in range(60) if j % 20), key=lambda s: (-s[0], s[1]))
+    assert [(s, i) for _, i, s in got] == wanted
