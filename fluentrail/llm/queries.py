@@ -102,8 +102,8 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op6_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged records of a replica of all pages, found by the trees of both copies.
 
-    1,000 pages make an archive. The replica has a changed byte in one page of fifty, and one archive of
-    thirteen ends at its 900th record.
+    1,000 pages make an archive. The replica has a changed byte in one page of fifty, one archive of
+    thirteen ends at its 900th record, and from one of three a record near the front is lost.
     """
     pages = _read(spark, folder, "pages").select(
         F.expr("(page_id - pmod(page_id, 1000)) div 1000").alias("archive"),
@@ -111,22 +111,31 @@ def op6_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
         warc_record(F.col("url"), F.col("html")).alias("record"),
     )
     damaged = F.when(F.col("position") % 50 == 7, F.overlay("record", F.lit("?"), 1)).otherwise(F.col("record"))
-    replica = pages.filter(~((F.col("archive") % 13 == 3) & (F.col("position") >= 900))).withColumn("record", damaged)
+    lost = (F.col("archive") % 13 == 3) & (F.col("position") >= 900) | (F.col("archive") % 3 == 0) & (F.col("position") == 60)
+    replica = pages.filter(~lost).withColumn("record", damaged)
     found = audit(merkle_tree(pages), merkle_tree(replica))
-    return found.select("archive", "position", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "kind")
+    return found.select("archive", "position", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "kind", "shift")
 
 
 OP6_SQL = """
 WITH records AS (
-    SELECT page_id // 1000 AS archive, page_id % 1000 AS position,
+    SELECT CAST(floor(page_id / 1000) AS BIGINT) AS archive, page_id - 1000 * CAST(floor(page_id / 1000) AS BIGINT) AS position,
            strlen('WARC/1.1WARC-Type: resourceWARC-Target-URI: Content-Length: ') + 14 + strlen(coalesce(url, ''))
            + strlen(coalesce(html, '')) + length(strlen(coalesce(html, ''))::VARCHAR) AS size
     FROM pages WHERE page_id IS NOT NULL),
 placed AS (
-    SELECT archive, position, sum(size) OVER (PARTITION BY archive ORDER BY position) AS last, size FROM records)
+    SELECT archive, position, sum(size) OVER (PARTITION BY archive ORDER BY position) AS last, size FROM records),
+told AS (
+    SELECT *, archive % 13 = 3 AND position >= 900 OR archive % 3 = 0 AND position = 60 AS lost, sum(size) OVER (PARTITION BY archive) AS whole FROM placed),
+shifts AS (
+    SELECT archive, position, last, whole, -sum(size) OVER (PARTITION BY archive ORDER BY position) AS shift,
+           lead(last - size) OVER (PARTITION BY archive ORDER BY position) AS next FROM told WHERE lost)
 SELECT archive, position, CAST(last - size AS BIGINT) AS start_offset, CAST(last AS BIGINT) AS end_offset,
-       CASE WHEN archive % 13 = 3 AND position >= 900 THEN 'lost' ELSE 'changed' END AS kind
-FROM placed WHERE position % 50 = 7 OR archive % 13 = 3 AND position >= 900
+       CASE WHEN lost THEN 'lost' ELSE 'changed' END AS kind, NULL::BIGINT AS shift
+FROM told WHERE position % 50 = 7 OR lost
+UNION ALL
+SELECT archive, position + 1, CAST(last AS BIGINT), CAST(coalesce(next, whole) AS BIGINT), 'moved', CAST(shift AS BIGINT)
+FROM shifts WHERE last < coalesce(next, whole)
 """
 
 

@@ -10,7 +10,7 @@ from fluentrail.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf, name):
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations"):
+    for table in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df = QUERIES[name](spark, sf)
     names = sorted(df.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluentrail.llm import bestfit, preference, projections, queries, ranked, repair, toxicity
+from fluentrail.llm import bestfit, fixity, preference, projections, queries, ranked, repair, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -344,3 +344,32 @@ def test_projections_of_repeated_ids(spark):
     asked = [i for i in range(0, 60, 20) if any(math.sumprod(v[i].tolist(), v[j].tolist()) == got[0][2] for j in range(60) if j % 20)]
     wanted = sorted(((math.sumprod(v[asked[0]].tolist(), v[j].tolist()), j % 20) for j in range(60) if j % 20), key=lambda s: (-s[0], s[1]))
     assert [(s, i) for _, i, s in got] == wanted
+
+
+# Fixity
+
+
+def test_one_lost_record_moves_one_range(spark):
+    schema = "archive string, position long, record string"
+    rows = [("a", i, "x" * (i % 7 + 1)) for i in range(200)]
+    sizes = [i % 7 + 1 for i in range(200)]
+    one = fixity.merkle_tree(spark.createDataFrame(rows, schema))
+
+    def told(changed):
+        found = fixity.audit(one, fixity.merkle_tree(spark.createDataFrame(changed, schema))).collect()
+        return sorted((r.position, r.kind, r.start, r.end, r.shift) for r in found)
+
+    at = [sum(sizes[:i]) for i in range(201)]
+    assert told([r for r in rows if r[1] != 50]) == [(50, "lost", at[50], at[51], None), (51, "moved", at[51], at[200], -sizes[50])]
+    longer = [(a, p, r + "yy" if p == 30 else "q" * len(r) if p == 90 else r) for a, p, r in rows if p != 121]
+    wanted = [(30, "changed", at[30], at[31], None), (31, "moved", at[31], at[121], 2), (90, "changed", at[90], at[91], None), (121, "lost", at[121], at[122], None)]
+    assert told(longer) == [*wanted, (122, "moved", at[122], at[200], 2 - sizes[121])]
+    # the sizes of both cancel out: what lies behind is in its place
+    assert [t for t in told([(a, p, r[:-1] if p == 20 else r + "z" if p == 40 else r) for a, p, r in rows]) if t[1] == "moved"] == [(21, "moved", at[21], at[40], -1)]
+    gap = [r for r in rows if r[1] != 100]
+    two = fixity.merkle_tree(spark.createDataFrame(gap, schema))
+    added = sorted((r.position, r.kind, r.start, r.end, r.shift) for r in fixity.audit(two, one).collect())
+    assert added == [(100, "added", at[100], at[101], None), (101, "moved", at[100], at[200] - sizes[100], sizes[100])]
+    assert fixity.audit(one, fixity.merkle_tree(spark.createDataFrame([(a, p, None if r == "" else r) for a, p, r in rows], schema))).count() == 0
+    null, empty = (fixity.merkle_tree(spark.createDataFrame([("a", 0, r)], schema)) for r in (None, ""))
+    assert [r.kind for r in fixity.audit(null, empty).collect()] == ["changed"]
