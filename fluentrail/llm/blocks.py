@@ -38,6 +38,7 @@ def best_of_blocks(
     k: int,
     block_rows: int,
     query_rows: int = QUERY_ROWS,
+    hits_schema: str = HITS,
 ) -> DataFrame:
     """The ``k`` best hits per query: ``query_id, rank, vec_id, score``, highest score first, then smaller id.
 
@@ -62,7 +63,7 @@ def best_of_blocks(
         found = search(stored["id"].to_numpy(np.int64), vectors, wanted["id"].to_numpy(np.int64), asked_vectors)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
-    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(answer, HITS)
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(answer, hits_schema)
     order = [F.col("score").desc(), F.col("vec_id")]
     if blocks > MERGED:
         group = F.pmod(F.xxhash64("query_id", "vec_id"), F.lit(math.ceil(blocks / MERGED)))
@@ -89,3 +90,26 @@ class Best:
         ids, scores = np.concatenate([self.ids, ids[keep]]), np.concatenate([self.scores, scores[keep]])
         order = np.lexsort((ids, -scores))[: self.k]
         self.ids, self.scores = ids[order], scores[order]
+
+
+class WholeBest:
+    """The same for scores that are whole numbers of any size."""
+
+    def __init__(self, k: int):
+        self.k, self.pairs = k, []
+
+    @property
+    def least(self) -> float:
+        return float(-self.pairs[-1][0]) if len(self.pairs) == self.k else -math.inf
+
+    def add(self, ids: list[int], scores: list[int]) -> None:
+        self.pairs = sorted([*self.pairs, *((-s, i) for s, i in zip(scores, ids, strict=True))])[: self.k]
+
+    @property
+    def ids(self) -> np.ndarray:
+        return np.array([i for _, i in self.pairs], np.int64)
+
+    @property
+    def scores(self) -> np.ndarray:
+        """Scores beyond 64 bits raise an error."""
+        return np.array([-s for s, _ in self.pairs], np.int64)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluentrail.llm.blocks import Best, best_of_blocks, usable
+from fluentrail.llm.blocks import HITS, Best, WholeBest, best_of_blocks, usable
 
 #: Entries of a page.
 PAGE = 64
@@ -78,17 +78,24 @@ class MTree:
         at = np.array([c for c, _ in pairs])
         return Node(at, self._distances(at, centre), np.array([child.radius for child in children]), children, radius)
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None) -> Best:
-        """The ``k`` rows with the largest inner products, the row whose id is ``own`` left out."""
-        best = Best(k)
+    def search(self, query: np.ndarray, k: int, own: int | None = None, whole: bool = False) -> Best | WholeBest:
+        """The ``k`` rows with the largest inner products, the row whose id is ``own`` left out.
+
+        If all components are ``whole`` numbers, so are the scores: rows that may be among the best, whatever rounding did to their
+        product, are worked out once more in integers.
+        """
+        best = WholeBest(k) if whole else Best(k)
         base = float(query @ query) + self.length2
+        asked = [int(x) for x in query.tolist()] if whole else []
+        # more than the error of a product of rounded sums
+        error = 4 * len(query) * np.finfo(float).eps * math.sqrt(float(query @ query) * self.length2) if whole else 0.0
 
         def away(rows: np.ndarray) -> np.ndarray:
             self.computed += len(rows)
             return np.sqrt(np.maximum(base - 2 * (self.vectors[rows] @ query), 0))
 
         def limit() -> float:
-            return math.inf if best.least == -math.inf else math.sqrt(max(base - 2 * best.least, 0)) + self.slack
+            return math.inf if best.least == -math.inf else math.sqrt(max(base - 2 * (best.least - error), 0)) + self.slack
 
         # (least possible distance, turn, distance of the page's centre, page)
         agenda = [(0.0, 0, float(away(np.array([self.centre]))[0]), self.root)]
@@ -108,7 +115,12 @@ class MTree:
                 scores = self.vectors[members] @ query
                 ids = self.ids[members]
                 others = ids != own
-                best.add(ids[others], scores[others])
+                if whole:
+                    near = others & (scores >= best.least - error)
+                    products = [math.sumprod([int(x) for x in row], asked) for row in self.vectors[members[near]].tolist()]
+                    best.add(ids[near].tolist(), products)
+                else:
+                    best.add(ids[others], scores[others])
                 continue
             distances = away(members)
             for place, distance in zip(np.flatnonzero(open_entries).tolist(), distances.tolist(), strict=True):
@@ -122,7 +134,7 @@ class MTree:
 def top_k(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float | None = None, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Exactly the ``k`` rows of largest inner product per query, itself left out: ``query_id, rank, vec_id, score``.
 
-    With ``scale`` each component x counts as floor(scale * x), and scores are exact whole numbers. Ties go to the
+    With ``scale`` each component x counts as floor(scale * x), and scores are exact whole numbers, of 64 bits at most; larger ones raise an error. Ties go to the
     smaller id. Null keys and vectors that are null, empty or hold a null or non-finite component take no part,
     a query without candidates has no rows; empty tables give none. Rows that repeat an id are hits each
     for itself; those with the id of the query are left out.
@@ -136,7 +148,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
 
     def search(ids, vectors, query_ids, wanted):
         tree = MTree(ids, vectors)
-        found = [tree.search(query, k, own) for own, query in zip(query_ids.tolist(), wanted, strict=True)]
+        found = [tree.search(query, k, own, scale is not None) for own, query in zip(query_ids.tolist(), wanted, strict=True)]
         return np.repeat(query_ids, [len(b.ids) for b in found]), np.concatenate([b.ids for b in found]), np.concatenate([b.scores for b in found])
 
-    return best_of_blocks(ready(base), ready(queries), search, k, tree_rows)
+    hits = HITS if scale is None else HITS.replace("score double", "score long")
+    return best_of_blocks(ready(base), ready(queries), search, k, tree_rows, hits_schema=hits)

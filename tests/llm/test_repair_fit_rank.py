@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluentrail.llm import bestfit, fixity, preference, projections, queries, ranked, repair, toxicity
+from fluentrail.llm import bestfit, fixity, mtree, preference, projections, queries, ranked, repair, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -373,3 +373,22 @@ def test_one_lost_record_moves_one_range(spark):
     assert fixity.audit(one, fixity.merkle_tree(spark.createDataFrame([(a, p, None if r == "" else r) for a, p, r in rows], schema))).count() == 0
     null, empty = (fixity.merkle_tree(spark.createDataFrame([("a", 0, r)], schema)) for r in (None, ""))
     assert [r.kind for r in fixity.audit(null, empty).collect()] == ["changed"]
+
+
+# Whole scores
+
+
+@pytest.mark.parametrize("scale", [3e4, 2e5])
+def test_whole_scores_beyond_53_bits(spark, scale):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 64)) * scale
+    v[150:] = v[:150]
+    v[150:, 0] += rng.integers(-2, 3, 150) / 1024  # near ties
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in mtree.top_k(table, table.filter("vec_id % 30 = 0"), k=10, scale=1024.0, tree_rows=100).collect())
+    whole = [[math.floor(x * 1024) for x in row] for row in v.tolist()]
+    wanted = []
+    for q in range(0, 300, 30):
+        scores = sorted((-math.sumprod(whole[q], whole[b]), b) for b in range(300) if b != q)[:10]
+        wanted += [(q, rank, b, -s) for rank, (s, b) in enumerate(scores, 1)]
+    assert got == wanted and max(abs(w[3]) for w in wanted) > 1 << 53
