@@ -103,7 +103,7 @@ def keep_days(
         day = F.to_date("processed_at")
         touched = batch.select(day.alias("_day")).distinct()
         stored = batch.sparkSession.read.schema(arriving.schema).parquet(runs)
-        own = stored.join(F.broadcast(touched), day.eqNullSafe(F.col("_day")), "left_semi")
+        own = stored.join(touched, day.eqNullSafe(F.col("_day")), "left_semi")
         days = daily_fluency(own, series, metrics_col)
         days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("processed_day").parquet(table)
 
