@@ -221,3 +221,41 @@ def test_make_nearest_with_copies():
         for i in range(len(q)):
             exact = np.array([twelve(d) for d in np.sqrt(((q[i] - b) ** 2).sum(1))])
             assert list(bi[qi == i]) == list(np.lexsort((np.arange(200), exact))[:k])
+
+
+def test_copies_in_a_large_base_are_few_rows(spark):
+    """300 rows of 10 vectors are 30 rows for a search of 3, which are broadcast; equal queries are asked once."""
+    base = np.repeat(RNG.normal(size=(10, 4)).round(2), 30, axis=0)
+    queries = np.repeat(RNG.normal(size=(12, 4)).round(2), 4, axis=0)
+    b, q = frame(spark, base, "b"), frame(spark, queries, "q")
+    got = search.top_k(b, q, 3, ["b"], ["q"], max_rows=40)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert hits(got) == brute(base, queries, 3, "euclidean")
+    assert hits(search.top_k(b, q, 3, ["b"], ["q"], max_rows=10)) == brute(base, queries, 3, "euclidean")
+
+
+def test_a_query_goes_to_a_shelf_once(spark):
+    """All nine lists are visited; before, a query was sent to each of them with its vector."""
+    import fluentrail.operators.lists as module
+
+    base, queries = RNG.normal(size=(120, 4)), RNG.normal(size=(15, 4))
+    lists = build_lists(frame(spark, base, "b"), ["b"], n_lists=9)
+    known = lists.centroids.orderBy("list_id").collect()
+    index = tuple(np.array([row[name] for row in known]) for name in ("centroid", "list_id", "directed", "radius"))
+    sizes = [(row.list_id, row.rows) for row in known]
+    asked = frame(spark, queries, "_number").withColumnRenamed("embedding", "_vector")
+    sent, route = spark.sparkContext.broadcast(index), module._make_route(3, "euclidean", 1.0)
+    rows = module._routed(asked, sent, module._shelves(sizes, 1000), "euclidean", route).collect()
+    assert len(rows) == 15 and all(sorted(row["_lists"]) == [number for number, _ in sizes] for row in rows)
+    shelves = module._shelves([(0, 400), (1, 500), (2, 200), (3, 2500), (4, 10)], 1000)
+    assert shelves == {0: (0, 1), 1: (0, 1), 2: (1, 1), 3: (2, 3), 4: (3, 1)}
+
+
+@pytest.mark.parametrize("metric", search.METRICS)
+def test_bounds_leave_out_what_is_farther(metric):
+    nearest = search.make_nearest(4, metric)
+    base, queries = hard_vectors(60, 5) * 1e4, hard_vectors(20, 5) * 1e4
+    whole = list(zip(*nearest(queries, base)))
+    bounds = np.array([d for q, b, d in whole][2::4])  # the third of each
+    within = [row for row in whole if row[2] <= bounds[row[0]]]
+    assert set(within) <= set(zip(*nearest(queries, base, bounds))) <= set(whole)
