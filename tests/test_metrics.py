@@ -98,3 +98,15 @@ def test_prompt_without_words(spark):
         df = df.withColumn(name, F.lit(None).cast(kind))
     row = prompts.therapy_prompts(df).first()
     assert row.plan_track is None and "{}" in row.prompt
+
+
+def test_counts_need_no_record_for_each_word(spark):
+    """Metrics without packed words make no flagged word; words that are cut short or odd count as before."""
+    words = [("iiİ", 0.0, 0.3), ("iiİ", 2.0, 2.3), (None, 2.4, 2.5), ("Um,", 2.6, None), ("İii", 9.0, 9.1), ("aaa", 9.2, 9.3), ("", 9.4, 9.5)]
+    runs = spark.createDataFrame([("a", words), ("b", []), ("c", None)], "uri STRING, words array<struct<word:string,start_time:double,end_time:double>>")
+    counted = metrics.transcript_metrics(runs).drop("words")
+    assert "is_filler" not in counted._jdf.queryExecution().toString()
+    packed = metrics.transcript_metrics(runs, packed_col="packed").drop("words", "packed")
+    assert sorted(counted.collect()) == sorted(packed.collect())
+    row = counted.where("uri = 'a'").first()
+    assert (row.filler_count, row.repetitions, row.prolongations, row.blocks) == (1, 1, 3, 1)
