@@ -181,3 +181,23 @@ def test_transcript_table(spark, tmp_path):
     rows = spark.createDataFrame([("a", "t", "{}", "")], "uri STRING, transcripts STRING, ml_transcribe_result STRING, ml_transcribe_status STRING")
     tables.append_rows(tables.stamp_processed(rows, datetime(2024, 1, 1, tzinfo=UTC)), path, TRANSCRIPTS)
     assert tables.read_table(spark, path, TRANSCRIPTS).first().processed_at_ist == datetime(2024, 1, 1, 5, 30)
+
+
+def test_rows_stay_where_they_are_if_all_are_new(spark, tmp_path):
+    """Only keys are compared; rows are moved if some are known, and made into text if one key has several."""
+    path, schema = str(tmp_path / "t"), "k STRING, v STRING"
+    rows = spark.createDataFrame([(str(i), "x" * i) for i in range(20)], schema)
+
+    def plan(df):
+        return df._jdf.queryExecution().toString()
+
+    fresh = tables.not_stored(rows, path, schema, "k")
+    assert "Exchange" not in plan(fresh) and fresh.count() == 20
+    tables.append_new(rows, path, schema, "k")
+    assert tables.not_stored(rows, path, schema, "k").count() == 0
+    more = rows.unionByName(spark.createDataFrame([("a", "1"), ("b", "2"), ("b", "3"), ("b", "3")], schema))
+    once = tables.not_stored(more.where("v != '3'"), path, schema, "k")
+    assert "to_json" not in plan(once) and sorted(map(tuple, once.collect())) == [("a", "1"), ("b", "2")]
+    assert sorted(map(tuple, tables.not_stored(more, path, schema, "k").collect())) == [("a", "1"), ("b", "3")]
+    tables.append_new(more, path, schema, "k")
+    assert tables.read_table(spark, path, schema).count() == 22
