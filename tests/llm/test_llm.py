@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -179,6 +180,35 @@ def test_repeats(docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_over_many_fragments(spark, docs, monkeypatch):
+    monkeypatch.setattr(repeats, "FRAGMENT", 50)
+    texts = [(t or "").encode() for _, t in ODD]
+    rows = repeats.remove_repeats(docs).collect()
+    wanted = [(k, kept) for (k, _), kept in zip(ODD, brute_repeats(texts), strict=True)]
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in rows), key=repr) == sorted(wanted, key=repr)
+
+
+def test_names_meet_in_little_memory():
+    name = np.random.default_rng(5).permutation(np.repeat(np.arange(1 << 19, dtype=np.uint64) * np.uint64(12345), 2))
+    name[:7] = np.arange(1, 8)
+    row = {"fragment": [3], "ids": [np.array([9]).tobytes()], "counts": [np.array([len(name)], np.uint32).tobytes()], "names": [name.tobytes()]}
+    table = pa.table({k: pa.array(v, pa.int32() if k == "fragment" else pa.binary()) for k, v in row.items()})
+    tracemalloc.start()
+    out = repeats._meet(np.uint64)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    again = np.unpackbits(np.frombuffer(out.column("bits")[0].as_py(), np.uint8), count=len(name))
+    known, count = np.unique(name, return_counts=True)
+    assert again.tolist() == (count[np.searchsorted(known, name)] > 1).astype(int).tolist()
+    assert peak < 3 * name.nbytes
+
+
+@pytest.mark.parametrize("places", [[], [4], [0, 1, 2], [3, 5, 6, 7, 9, 30]])
+def test_places_as_runs(places):
+    runs = repeats._runs(np.array(places, np.int64))
+    assert repeats._places(runs.tobytes()).tolist() == places
+
+
 def test_cover_has_all_differences():
     assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
 
