@@ -160,3 +160,23 @@ def test_one_long_file_is_cut(spark):
     assert "Window" in flagged._jdf.queryExecution().executedPlan().toString()
     run = metrics.word_metrics(flagged).first()
     assert (run.total_words, run.repetitions, run.blocks) == (1000, 999, 0)
+
+
+def test_flag_rows_are_the_exploded_flags(spark):
+    said = spoken("um", "Um,", "um", "sooo", "sss", None, None, "end", step=1.0)
+    files = {"a": said, "b": [], "c": None, "d": spoken("one"), "e": [None, *spoken("uh", "uh"), None], "f": spoken("x", "x", step=2.0)}
+    df = transcripts(spark, **files)
+    rows = disfluency.flag_rows(df)
+    before = disfluency.explode_flags(disfluency.annotate_transcripts(df))
+    assert rows.dtypes == before.dtypes
+    assert rows.orderBy("uri", "pos").collect() == before.orderBy("uri", "pos").collect()
+    assert rows.count() == len(said) + 1 + 4 + 2
+
+
+def test_word_rows_are_made_by_generated_code(spark, sf):
+    from catalogue.queries import QUERIES
+
+    for name, wanted in (("words_from_text", 1), ("disfluency_flags", 1)):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        # one function over an array: the one that makes the given words
+        assert plan.count("transform(") == wanted, name

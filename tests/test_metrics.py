@@ -110,3 +110,14 @@ def test_counts_need_no_record_for_each_word(spark):
     assert sorted(counted.collect()) == sorted(packed.collect())
     row = counted.where("uri = 'a'").first()
     assert (row.filler_count, row.repetitions, row.prolongations, row.blocks) == (1, 1, 3, 1)
+
+
+def test_half_up_is_round(spark):
+    near = [k / 1e6 + d for k in (0, 1, 7, 250000, 1499999) for d in (0.0, 5e-7, 4.999999e-7, 5.000001e-7, 1e-16)]
+    odd = [0.8 - 0.7, 1e5 + 0.1234565, 123456789.1234565, 1e300, float("inf"), float("nan"), 2.5e-6, 1.0000005, None, 4e-324]
+    randomly = [random.Random(3).uniform(-5, 5) for _ in range(500)]
+    numbers = [(x,) for x in [*near, *odd, *randomly] for x in (x, None if x is None else -x)]
+    df = spark.createDataFrame(numbers, "x DOUBLE")
+    for places in (6, 10):
+        both = df.select(scores.half_up(F.col("x"), places).cast("string").alias("a"), F.round("x", places).cast("string").alias("b"))
+        assert both.where("not a <=> b").collect() == []
