@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -20,11 +23,39 @@ from fluentrail.llm.common import steps
 GROUP_WINDOWS = 256
 #: Tokens a window that differencing leaves free on average, to be filled with cut pieces.
 SPARE = 128
+#: Steps whose words are told apart in one go.
+TOGETHER = 4
 #: Words a worker remembers before it starts a new memory beside the one before.
 MOST_KEPT = 200_000
 LONGEST_KEPT = 48
 #: Bits of a sequence's number within its task.
 TASK_SHIFT = 36
+#: The rules of a tokenizer under which words are cut here: lower case, and then letters, digits and other signs apart.
+CUT_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+#: Signs of one and two bytes that no rule composes or takes as space, in a set; letters and digits of them in lower case.
+PLAIN = [chr(code) for code in (*range(0x21, 0x7F), *range(0xA1, 0x100)) if code != 0xAD]
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+").findall
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -154,36 +185,72 @@ def _cut(spare: list[list[int]], room: int) -> list[int]:
     return [doc, start, start + room]
 
 
-class WordIds:
-    """Ids of whole texts from those of their words, which the tokenizer works out once."""
+class WordIds(dict):
+    """Ids of whole texts from those of their words, 32 bits each, little-endian; the tokenizer works a word out once.
+
+    Where the tokenizer's rules are ``CUT_RULES``, a word of plain signs is cut into letters, digits and other
+    signs here, and only parts that are new go to the merges; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.plain = None
+        if {name: rules.get(name) for name in CUT_RULES} == CUT_RULES:
+            # a word that may hold a token with a text of its own is not plain
+            marked = {token["content"][0] for token in rules["added_tokens"]}
+            self.plain = re.compile("[" + "".join(re.escape(sign) for sign in PLAIN if sign not in marked) + "]+").fullmatch
+            as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.signs = {code: as_bytes(chr(code))[0][0] for code in range(0xA1, 0x100)}
+        self.merges = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """32-bit ids, little-endian, with ``end`` behind them."""
-        if len(self.kept) > MOST_KEPT:
-            self.kept, self.older = {}, self.kept
-        cut = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        kept, older = self.kept, self.older
-        missing = set().union(*cut).difference(kept)
-        fresh = [word for word in missing if word not in older]
-        kept.update((word, older[word]) for word in missing if word in older)
-        codes = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        kept.update((word, np.array(code.ids, "<u4").tobytes()) for word, code in zip(fresh, codes, strict=True))
-        mark = np.array([end], "<u4").tobytes()
-        out = [b"".join([*map(kept.__getitem__, words), mark]) for words in cut]
-        for word in fresh:
-            if len(word) > LONGEST_KEPT:
-                del kept[word]
-        return out
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if self.plain is not None and self.plain(word):
+                lower = word.lower()
+                parts = [lower] if lower.isalpha() else _CUT(lower)
+                ids = b"".join([self.parts.get(part) or self._merged(part) for part in parts])
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
+
+    def _merged(self, part: str) -> bytes:
+        signs = part if part.isascii() else part.translate(self.signs)
+        ids = array("I", [token.id for token in self.merges.tokenize(signs)]).tobytes()
+        if len(part) <= LONGEST_KEPT:
+            self.parts[part] = ids
+        return ids
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts one after another, each with ``end`` behind it, and how many each has."""
+        if len(self) > MOST_KEPT:
+            self.older = dict(self)
+            self.clear()
+        if len(self.parts) > MOST_KEPT:
+            self.parts.clear()
+        lines = pa.compute.replace_substring(pa.compute.fill_null(texts, ""), "\n", " ")
+        cut = pa.compute.split_pattern(lines, " ")
+        coded = cut.flatten().dictionary_encode()
+        each = [*map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist())]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        words = coded.indices.to_numpy()
+        own = sizes[words]
+        upto = np.cumsum(own)
+        starts = (np.cumsum(sizes) - sizes)[words]
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(starts - upto + own, own) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.append(0, upto)[np.cumsum(pa.compute.list_value_length(cut).to_numpy())]
+        return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
 
 
 @lru_cache(maxsize=2)
@@ -211,16 +278,22 @@ def _pack(path: str, end: int, capacity: int, group: int, key: pa.DataType, with
         first = TaskContext.get().partitionId() << TASK_SHIFT
         keys, ids, held = [], [], 0
         for batch in batches:
-            for part in steps(batch):
-                keys += part.column(0).to_pylist()
-                fresh = words.encode(part.column(1).to_pylist(), end)
-                ids += fresh
-                held += sum(map(len, fresh)) // 4
-                if held >= group * capacity:
-                    out, sequences = rows(keys, ids, first)
-                    yield out
-                    first += sequences
-                    keys, ids, held = [], [], 0
+            parts, at = [*steps(batch)], 0
+            for some in (parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)):
+                size = sum(map(len, some))
+                fresh, counts = words.encode(batch.column(1).slice(at, size), end)
+                each = [own.tobytes() for own in np.split(fresh, np.cumsum(counts)[:-1])]
+                at, upto = at + size, 0
+                for part in some:
+                    keys += part.column(0).to_pylist()
+                    ids += each[upto : upto + len(part)]
+                    held += int(counts[upto : upto + len(part)].sum())
+                    upto += len(part)
+                    if held >= group * capacity:
+                        out, sequences = rows(keys, ids, first)
+                        yield out
+                        first += sequences
+                        keys, ids, held = [], [], 0
         if keys:
             yield rows(keys, ids, first)[0]
 

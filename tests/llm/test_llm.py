@@ -89,6 +89,21 @@ def test_packing_keeps_each_id_once(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_only_new_parts_of_words_are_merged():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = packing.WordIds(path)
+    signs = [chr(code) for code in range(1, 0x180) if chr(code) not in " \n"]
+    texts = [a + b + c for a in signs for b in signs for c in ("", "'s")]
+    texts += ["Haon, haon. HAON", "a<|startoftext|>b <|endoftext|>", "'LL've ''s x", "e\u0301 E\u0301x \u03a3\u03a3 \u4e2d", "", " ", "\n\na", None, "z" * 100]
+    found, counts = ids.encode(pa.array(texts), 2)
+    whole = [[*ids.tokenizer.encode(text or "", add_special_tokens=False).ids, 2] for text in texts]
+    assert counts.tolist() == [len(own) for own in whole]
+    assert found.tolist() == [i for own in whole for i in own]
+    again = packing.WordIds(path)
+    again.encode(pa.array(["Haon, haon. HAON haon"]), 2)
+    assert set(again.parts) == {"haon", ",", "."}
+
+
 def test_differencing_is_even():
     sizes = np.random.default_rng(1).integers(1, 2000, 300)
     window = packing.differencing(sizes, 12)
