@@ -89,6 +89,17 @@ def test_packing_keeps_each_id_once(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("kind", [np.uint32, np.uint64])
+def test_names_are_sorted_without_a_copy_of_them_all(kind):
+    name = np.random.default_rng(1).integers(0, 1 << 21, 1 << 20).astype(kind)
+    tracemalloc.start()
+    again = repeats._again(name)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (again == (np.bincount(name.astype(np.int64))[name.astype(np.int64)] > 1)).all()
+    assert peak < 5.5 * len(name)
+
+
 def test_only_new_parts_of_words_are_merged():
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = packing.WordIds(path)
