@@ -113,3 +113,18 @@ def test_file_names(spark):
         ("y.pdf", "application/pdf", "audio/y.pdf"),
         ("c", "application/octet-stream", "audio/c"),
     ]
+
+
+def test_offsets_of_digits_and_points_need_no_decimal(spark):
+    offsets = ["1.200s", "1.", ".5", ".", "", "s", "ss1", "1.2.3s", "9" * 45, "1.5ds", "1e3s", " 1.5 s", "1.5\n", "1.5s\n", "0x1p3", "\u0661s", "-0.0s", "+2s", "infs", "nan", "1 2", None]
+    rows = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "i int, o string").select("i", text.offset_seconds(F.col("o")).alias("x")).orderBy("i").collect()
+    number = F.replace("o", F.lit("s"), F.lit(""))
+    before = F.when(number.try_cast("decimal(38,9)").isNotNull() | F.lower(number).rlike(text._NUMBER), number.try_cast("double"))
+    wanted = spark.createDataFrame([(i, o) for i, o in enumerate(offsets)], "i int, o string").select("i", before.alias("x")).orderBy("i").collect()
+    assert [str(r.x) for r in rows] == [str(r.x) for r in wanted]
+    assert [r.x for r in rows][:4] == [1.2, 1.0, 0.5, None]
+
+
+def test_offsets_are_tried_as_decimals_last(spark):
+    column = str(text.offset_seconds(F.col("o"))).lower()
+    assert column.index("rlike") < column.index("decimal")
