@@ -121,3 +121,10 @@ def test_half_up_is_round(spark):
     for places in (6, 10):
         both = df.select(scores.half_up(F.col("x"), places).cast("string").alias("a"), F.round("x", places).cast("string").alias("b"))
         assert both.where("not a <=> b").collect() == []
+
+
+def test_words_are_packed_in_one_go(spark):
+    rows = "array(named_struct('word', 'um', 'start_time', 0D, 'end_time', 0.3D), named_struct('word', 'um', 'start_time', 2.123456789012D, 'end_time', 2.5D), named_struct('word', null, 'start_time', null, 'end_time', 3D), null)"
+    df = spark.sql(f"select {rows} as words union all select filter({rows}, w -> false) union all select null")
+    both = df.select(metrics.packed(F.col("words")), metrics.pack_words(disfluency.flag_words(F.col("words")))).collect()
+    assert all(one == other for one, other in both) and both[0][0].startswith('[{"word":"um"') and both[1][0] == "[]"
