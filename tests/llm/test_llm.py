@@ -229,6 +229,26 @@ def test_names_meet_in_little_memory():
     assert peak < 3 * name.nbytes
 
 
+def test_names_of_many_rows_meet_where_they_came():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 1 << 19, 1 << 16).astype(np.uint64) * np.uint64(12345) for _ in range(14)]
+    ids = [*range(14), 5, 5]  # a text that three rows have counts once
+    rows = [*parts, parts[5], parts[5]]
+    columns = {"ids": [np.array([i]).tobytes() for i in ids], "counts": [np.array([len(r)], np.uint32).tobytes() for r in rows], "names": [r.tobytes() for r in rows]}
+    table = pa.table({"fragment": pa.array([3] * 16, pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in columns.items()}})
+    table = pa.concat_tables([table.slice(0, 6), table.slice(6)])
+    tracemalloc.start()
+    out = repeats._meet(np.uint64)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    known, count = np.unique(np.concatenate(parts), return_counts=True)
+    for i, bits in zip(out.column("id").to_pylist(), out.column("bits").to_pylist(), strict=True):
+        again = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(parts[i]))
+        assert again.tolist() == (count[np.searchsorted(known, parts[i])] > 1).astype(int).tolist()
+    assert out.column("id").to_pylist() == list(range(14))
+    assert peak < 0.8 * sum(r.nbytes for r in rows)
+
+
 @pytest.mark.parametrize("places", [[], [4], [0, 1, 2], [3, 5, 6, 7, 9, 30]])
 def test_places_as_runs(places):
     runs = repeats._runs(np.array(places, np.int64))
