@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from catalogue import inputs
 from fluentrail.operators import search
 from fluentrail.operators.lists import build_lists, open_lists, search_lists
 
@@ -259,3 +260,23 @@ def test_bounds_leave_out_what_is_farther(metric):
     bounds = np.array([d for q, b, d in whole][2::4])  # the third of each
     within = [row for row in whole if row[2] <= bounds[row[0]]]
     assert set(within) <= set(zip(*nearest(queries, base, bounds))) <= set(whole)
+
+
+def test_a_search_of_lists_works_queries_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(x):
+        worked.add(1)
+        return [float(x % 3), 1.0]
+
+    lists = build_lists(frame(spark, RNG.normal(size=(12, 2)), "b"), ["b"], n_lists=3)
+    queries = spark.range(0, 9, 1, 2).select(F.col("id").alias("q"), vector("id").alias("embedding"))
+    for fraction in (None, 0.3):
+        worked.value = 0
+        assert search_lists(lists, queries, 2, ["q"], fraction=fraction).count() == 18
+        assert worked.value == 9
+
+
+def test_courses_are_dealt_out(spark, sf):
+    assert inputs.courses(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
