@@ -462,3 +462,17 @@ def test_preferences(spark):
     assert learned == {("chosen", "so"), ("rejected", "no")}
     none = spark.createDataFrame([], schema)
     assert format_preferences(none, none).count() == 0
+
+
+def test_texts_are_signed_together_as_one_by_one():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, spread, size)) for size in (0, 3, 5, 49, 50, 51, 300, 2000) for spread in (1, 4, 1000)]
+    texts = pa.array([None, *texts, texts[-1], "", *texts[::-1]])
+    *found, counts = passages._signed(texts)
+    single = [passages.signatures(grams) for grams in passages._grams(texts)]
+    assert counts.tolist() == [len(one[0]) for one in single]
+    for together, alone in zip(found, zip(*single, strict=True), strict=True):
+        assert together.tolist() == np.concatenate(alone).tolist()
+    # every passage has one signature of each kind
+    starts = [(end - begin + 1).sum() for _, begin, end, _ in single]
+    assert starts == [max(0, len(grams) - passages.WIDTH + 1) * passages.SIGNATURES for grams in passages._grams(texts)]
